@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import embed, relevance
+from ..operators import embed
 from ..operators.relevance import Settings
 from ..plans.jobs import Snapshot, refresh_centroids, score_papers
 from ..schemas import FEED
-from ..sources.tables import TableStore
+from ..sources.tables import TableStore, latest_rows
 
 STREAMED_FEED = T.StructType(FEED.fields + [T.StructField("ord", T.LongType())])
 
@@ -79,7 +79,7 @@ def embed_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         store.upsert_papers(batch)
-        arrived = relevance.first_of_each(batch, "id")
+        arrived = latest_rows(batch, ["id"], ["ord"])
         waiting = embed.unembedded(arrived, store.read("embeddings"), source, using.model_id)
         keyed = waiting.withColumnRenamed("id", "paper_id")
         good, _ = embed.split_errors(embed.embed(embed.with_text(keyed), using))
