@@ -1,9 +1,9 @@
 """Paths and inherited exclusion over a tree of collections.
 
 ``collections(key, name, parent_key, ord)``. Ancestors are resolved by pointer
-doubling: each round joins every open node to its current ancestor and so
-doubles the distance covered. A tree of depth d takes log2(d) joins, and cycles
-end after log2(n).
+doubling: each step joins every open node to its current ancestor and so
+doubles the distance covered. A tree of depth d takes log2(d) joins, and walks
+that run into cycles end after log2(n).
 """
 
 from __future__ import annotations
@@ -14,43 +14,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import cut
+from ..session import cut, cut_counting
 
+# Doublings per written round: two joins cover four levels.
+STEPS = 2
+# Paths are built on the way for up to 2**6 levels; only then are cycles sought.
+HOPEFUL_STEPS = 6
+
+Merge = dict[str, Callable[[Column, Column], Column]]
 
-def _double(
-    nodes: DataFrame,
-    merge: dict[str, Callable[[Column, Column], Column]],
-    rounds: int | None = None,
-    stop: str | None = None,
-) -> DataFrame:
-    """Follow ``up`` to its end, or at most ``2**rounds`` steps where rounds are given.
+
+def _step(nodes: DataFrame, merge: Merge, stop: str | None) -> DataFrame:
+    carried = list(merge)
+    above = nodes.select(
+        F.col("key").alias("up"),
+        F.col("up").alias("up_up"),
+        *[F.col(c).alias(f"up_{c}") for c in carried],
+    )
+    next_up = F.col("up_up")
+    if stop is not None:
+        next_up = F.when(~F.col(f"up_{stop}"), next_up)
+    moved = nodes.where(F.col("up").isNotNull()).join(above, "up").select(
+        "key",
+        next_up.alias("up"),
+        *[merge[c](F.col(c), F.col(f"up_{c}")).alias(c) for c in carried],
+    )
+    return nodes.where(F.col("up").isNull()).unionByName(moved)
+
+
+def _climb(
+    nodes: DataFrame, merge: Merge, max_steps: int | None = None, stop: str | None = None
+) -> tuple[DataFrame, int]:
+    """Follow ``up`` to its end, but at most ``2**max_steps`` levels where given.
 
     ``merge[column](own, above)`` joins a node's column to that of its ancestor.
-    A node whose boolean ``stop`` column turns true walks no further.
+    A node whose boolean ``stop`` column turns true climbs no further. Returns
+    the nodes and how many of them still have somewhere to go.
     """
-    carried = list(merge)
-    done = 0
-    nodes = cut(nodes.select("key", "up", *carried))
-    while rounds is None or done < rounds:
-        open_nodes = nodes.where(F.col("up").isNotNull())
-        if open_nodes.isEmpty():
-            break
-        above = nodes.select(
-            F.col("key").alias("up"),
-            F.col("up").alias("up_up"),
-            *[F.col(c).alias(f"up_{c}") for c in carried],
-        )
-        next_up = F.col("up_up")
-        if stop is not None:
-            next_up = F.when(~F.col(f"up_{stop}"), next_up)
-        moved = open_nodes.join(above, "up").select(
-            "key",
-            next_up.alias("up"),
-            *[merge[c](F.col(c), F.col(f"up_{c}")).alias(c) for c in carried],
-        )
-        nodes = cut(nodes.where(F.col("up").isNull()).unionByName(moved))
-        done += 1
-    return nodes
+    nodes = nodes.select("key", "up", *merge)
+    done, still_open = 0, 1
+    while still_open and (max_steps is None or done < max_steps):
+        for _ in range(STEPS):
+            nodes = _step(nodes, merge, stop)
+            done += 1
+        nodes, seen = cut_counting(nodes, open=F.count_if(F.col("up").isNotNull()))
+        still_open = seen["open"]
+    return nodes, still_open
 
 
 def _linked(collections: DataFrame) -> DataFrame:
@@ -67,31 +76,33 @@ def _linked(collections: DataFrame) -> DataFrame:
     )
 
 
-def _cut_cycles(linked: DataFrame) -> DataFrame:
+def _cut_cycles(linked: DataFrame, count: int) -> DataFrame:
     """Open each cycle at its entry: the cycle node first met from the lowest-``ord``
     node leading into the cycle. The link cut is the one that closes on the entry."""
     nodes = linked.select("key", "up", "ord")
-    # A walk of at least n steps ends on a cycle, and reaches all of it.
-    count = nodes.count()
-    rounds = max(1, count.bit_length())
-    walked = _double(
-        nodes.withColumn("least", F.col("ord")), {"least": F.least}, rounds
-    ).where(F.col("up").isNotNull())
-    if walked.isEmpty():
+    # A walk of at least n levels ends on a cycle, and has seen all of it.
+    walked, still_open = _climb(
+        nodes.withColumn("least", F.col("ord")), {"least": F.least}, max(1, count.bit_length())
+    )
+    if not still_open:
         return linked
-    on_cycle = walked.select(F.col("up").alias("key")).distinct()
+    walked = walked.where(F.col("up").isNotNull())
+    on_cycle = cut(walked.select(F.col("up").alias("key")).distinct())
     # The least ord over a whole cycle names it.
-    cycle_of = walked.join(on_cycle, "key", "left_semi").select("key", F.col("least").alias("cycle"))
+    cycle_of = walked.join(on_cycle, "key", "left_semi").select(
+        F.col("key").alias("entry"), F.col("least").alias("cycle")
+    )
     leading = nodes.join(walked.select("key"), "key", "left_semi")
     stops = (
-        leading.join(on_cycle.withColumn("stop", F.lit(True)), "key", "left")
-        .withColumn("up", F.when(F.col("stop").isNull(), F.col("up")))
+        leading.join(on_cycle.withColumn("on_cycle", F.lit(True)), "key", "left")
+        .withColumn("up", F.when(F.col("on_cycle").isNull(), F.col("up")))
         .withColumn("entry", F.col("key"))
     )
-    reached = _double(stops, {"entry": lambda own, above: above})
+    reached, _ = _climb(stops, {"entry": lambda own, above: above})
     entries = (
-        reached.join(nodes.select("key", "ord"), "key")
-        .join(cycle_of.withColumnRenamed("key", "entry"), "entry")
+        reached.select("key", "entry")
+        .join(nodes.select("key", "ord"), "key")
+        .join(cycle_of, "entry")
         .groupBy("cycle")
         .agg(F.min_by("entry", "ord").alias("up"))
     )
@@ -101,35 +112,39 @@ def _cut_cycles(linked: DataFrame) -> DataFrame:
         .join(entries, "up", "left_semi")
         .select("key", F.lit(True).alias("closing"))
     )
-    return (
+    return cut(
         linked.join(closing, "key", "left")
         .withColumn("up", F.when(F.col("closing").isNull(), F.col("up")))
         .drop("closing")
     )
 
 
-def _acyclic(collections: DataFrame) -> DataFrame:
-    return cut(_cut_cycles(cut(_linked(collections))))
-
-
 def collection_paths(collections: DataFrame) -> DataFrame:
     """``key, path``: names from the root down, each ended by ``/``."""
-    linked = _acyclic(collections)
+    linked, seen = cut_counting(_linked(collections), n=F.count(F.lit(1)))
     own = F.concat(text.strip(F.coalesce(text.not_empty("name"), F.col("key"))), F.lit("/"))
-    nodes = linked.select("key", "up", own.alias("path"))
-    return _double(nodes, {"path": lambda own, above: F.concat(above, own)}).select("key", "path")
+    extend: Merge = {"path": lambda own, above: F.concat(above, own)}
+
+    def named(nodes: DataFrame) -> DataFrame:
+        return nodes.select("key", "up", own.alias("path"))
+
+    found, still_open = _climb(named(linked), extend, HOPEFUL_STEPS)
+    if still_open:
+        found, _ = _climb(named(_cut_cycles(linked, seen["n"])), extend)
+    return found.select("key", "path")
 
 
 def excluded_collections(collections: DataFrame, names: Sequence[str]) -> DataFrame:
     """``key`` of each collection whose own name or an ancestor's is one of ``names``."""
     if not text.normalize_terms(list(names)):
         return collections.select("key").where(F.lit(False))
-    linked = cut(_linked(collections))
+    linked, seen = cut_counting(_linked(collections), n=F.count(F.lit(1)))
     hit = text.excluded_name("name", names)
     nodes = linked.select("key", F.when(~hit, F.col("up")).alias("up"), hit.alias("hit"))
-    # A walk on a cycle without a match has seen all of it after n steps.
-    rounds = max(1, nodes.count().bit_length())
-    settled = _double(nodes, {"hit": lambda own, above: own | above}, rounds, stop="hit")
+    # A walk on a cycle without a match has seen all of it after n levels.
+    settled, _ = _climb(
+        nodes, {"hit": lambda own, above: own | above}, max(1, seen["n"].bit_length()), stop="hit"
+    )
     return settled.where("hit").select("key")
 
 

@@ -34,32 +34,41 @@ def _density(reach: Column) -> Column:
 
 @dataclass(frozen=True)
 class FittedLibrary:
-    """Library rows with ``kdist`` and ``lrd``, and what scoring needs to know of them.
+    """A library, the densities of its rows, and what scoring needs to know of it.
 
-    ``rows`` has ``paper_id, ord, title, embedding, kdist, lrd``. Below three rows
-    the two densities are NULL and scoring falls back to mean similarity.
+    ``library(paper_id, ord, embedding)`` and ``about(paper_id, title, kdist, lrd)`` have
+    the same rows; searching reads only the one, and scoring joins only the
+    other. Below three rows both densities are NULL and scoring falls back to
+    mean similarity.
     """
 
-    rows: DataFrame
+    library: DataFrame
+    about: DataFrame
     count: int
     dim: int
     neighbors: int
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.library.join(self.about, "paper_id")
+
 
 def fit(library: DataFrame, neighbors: int = 20, **knn_options) -> FittedLibrary:
-    """Fit ``library(paper_id, ord, embedding[, title])``; invalid vectors are left out."""
+    """Fit ``library(paper_id, ord, embedding[, title])``; invalid vectors are left out.
+
+    The library is read several times, so pass it as a stored table.
+    """
     count, dim = vector_profile(library)
     if "title" not in library.columns:
         library = library.withColumn("title", F.lit("").cast(T.StringType()))
-    library = library.select(
-        "paper_id", "ord", "title", vectors.as_doubles("embedding").alias("embedding")
-    ).where(vectors.is_valid("embedding", dim))
+    rows = library.where(vectors.is_valid("embedding", dim))
+    library = rows.select("paper_id", "ord", vectors.as_doubles("embedding").alias("embedding"))
+    titles = rows.select("paper_id", "title")
     k = effective_neighbors(neighbors, count)
     if count < SMALLEST_FITTED_LIBRARY:
         none = F.lit(None).cast("double")
-        return FittedLibrary(
-            library.withColumn("kdist", none).withColumn("lrd", none), count, dim, k
-        )
+        about = titles.withColumns({"kdist": none, "lrd": none})
+        return FittedLibrary(library, about, count, dim, k)
 
     pairs = cut(
         knn(
@@ -73,15 +82,19 @@ def fit(library: DataFrame, neighbors: int = 20, **knn_options) -> FittedLibrary
             **knn_options,
         ).select("query_id", "neighbor_id", "distance")
     )
-    # Ranks of one row share its id, so both aggregates combine before shuffling.
+    # Pairs of one row leave a task together, so both aggregates combine before
+    # shuffling; a neighbour of very many rows is a skewed join key, which AQE splits.
     kdist = pairs.groupBy("query_id").agg(F.max("distance").alias("kdist"))
-    reach = (
+    lrd = (
         pairs.join(kdist.withColumnRenamed("query_id", "neighbor_id"), "neighbor_id")
         .groupBy("query_id")
-        .agg(_density(F.avg(F.greatest("kdist", "distance"))).alias("lrd"))
+        .agg(
+            F.max("distance").alias("kdist"),
+            _density(F.avg(F.greatest("kdist", "distance"))).alias("lrd"),
+        )
     )
-    densities = kdist.join(reach, "query_id").withColumnRenamed("query_id", "paper_id")
-    return FittedLibrary(library.join(densities, "paper_id"), count, dim, k)
+    about = titles.join(lrd.withColumnRenamed("query_id", "paper_id"), "paper_id")
+    return FittedLibrary(library, about, count, dim, k)
 
 
 def neighbors_with_density(
@@ -90,10 +103,9 @@ def neighbors_with_density(
     """One row per query and neighbour, carrying the neighbour's title and densities."""
     k = max(fitted.neighbors, top_k)
     found = knn(
-        queries, fitted.rows, k, dim=fitted.dim, library_rows=fitted.count, **knn_options
+        queries, fitted.library, k, dim=fitted.dim, library_rows=fitted.count, **knn_options
     )
-    about = fitted.rows.select(F.col("paper_id").alias("neighbor_id"), "title", "kdist", "lrd")
-    return found.join(about, "neighbor_id")
+    return found.join(fitted.about.withColumnRenamed("paper_id", "neighbor_id"), "neighbor_id")
 
 
 def score(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from ..functions import text, vectors
 from ..operators import digest, embed, hierarchy, lof, relevance
 from ..operators.centroids import collection_centroids, without_excluded
 from ..operators.relevance import Settings
-from ..session import cut
+from ..session import cut, cut_counting
 from ..sources import feeds, library, links
 from ..sources.tables import TableStore, latest_rows
 
@@ -40,53 +40,47 @@ def sync_library(
     of ``read_collections``. A dry run still stores items and collections, then
     lists what it would embed.
     """
-    papers = cut(latest_rows(items, ["id"], ["ord"]))
-    stored_ids = store.read("papers").select("id")
-    # One pass over the incoming rows for both counts, before they are stored.
-    arrivals = cut(
-        papers.join(stored_ids.withColumn("old", F.lit(True)), "id", "left").agg(
-            F.count(F.lit(1)).alias("retrieved"), F.count_if(F.col("old").isNull()).alias("new")
-        )
+    stored_ids = store.read("papers").select("id", F.lit(True).alias("stored"))
+    papers, arrived = cut_counting(
+        latest_rows(items, ["id"], ["ord"]).join(stored_ids, "id", "left"),
+        retrieved=F.count(F.lit(1)),
+        new=F.count_if(F.col("stored").isNull()),
     )
-    store.upsert_papers(papers)
+    store.upsert_papers(papers, unique=True)
     store.replace_collections(collections)
-    store.replace_memberships(
-        papers.select(F.col("id").alias("paper_id"), F.col("collections").alias("collection_keys"))
+    lists = papers.select(
+        F.col("id").alias("paper_id"), F.col("collections").alias("collection_keys")
     )
+    store.replace_memberships(lists, unique=True)
 
-    waiting = cut(
-        embed.unembedded(store.read("papers"), store.read("embeddings"), source, using.model_id)
+    waiting, needed = cut_counting(
+        embed.unembedded(store.read("papers"), store.read("embeddings"), source, using.model_id),
+        needing_embedding=F.count(F.lit(1)),
     )
-    needed = waiting.agg(F.count(F.lit(1)).alias("needing_embedding"))
-    if dry_run or waiting.isEmpty():
-        none = [F.lit(0).cast("long").alias(c) for c in ("embedded", "errors", "blank")]
-        stats = _one_row(arrivals, needed).select("*", *none)
-        return SyncResult(stats, preview=digest.preview(waiting) if dry_run else None)
+    stats = {**arrived, **needed, "embedded": 0, "errors": 0, "blank": 0}
+    if dry_run or not needed["needing_embedding"]:
+        preview = digest.preview(waiting) if dry_run else None
+        return SyncResult(_stats_row(store.spark, stats), preview=preview)
 
     keyed = waiting.withColumnRenamed("id", "paper_id")
-    embedded = cut(embed.embed(embed.with_text(keyed), using).drop("text"))
-    good, bad = embed.split_errors(embedded)
-    store.upsert_embeddings(good, using.model_id)
-    outcome = embedded.agg(
-        F.count_if(vectors.is_valid("embedding")).alias("embedded"),
-        F.count_if(~vectors.is_valid("embedding")).alias("errors"),
-        F.count(F.lit(1)).alias("with_text"),
+    valid = vectors.is_valid("embedding")
+    embedded, outcome = cut_counting(
+        embed.embed(embed.with_text(keyed), using).drop("text"),
+        embedded=F.count_if(valid),
+        errors=F.count_if(~valid),
     )
+    good, bad = embed.split_errors(embedded)
+    store.upsert_embeddings(good, using.model_id, unique=True)
     refresh_centroids(store, using.model_id, source)
-    stats = (
-        _one_row(arrivals, needed, outcome)
-        .withColumn("blank", F.col("needing_embedding") - F.col("with_text"))
-        .drop("with_text")
-    )
-    return SyncResult(stats, quarantine=bad)
+    stats.update(outcome)
+    stats["blank"] = stats["needing_embedding"] - stats["embedded"] - stats["errors"]
+    return SyncResult(_stats_row(store.spark, stats), quarantine=bad)
 
 
-def _one_row(*parts: DataFrame) -> DataFrame:
-    """One-row frames side by side, as scalar subqueries of the first."""
-    row = parts[0]
-    for part in parts[1:]:
-        row = row.withColumns({name: part.select(name).scalar() for name in part.columns})
-    return row
+def _stats_row(spark: SparkSession, stats: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame(
+        [tuple(stats.values())], ", ".join(f"{name} long" for name in stats)
+    )
 
 
 def refresh_centroids(store: TableStore, model_id: str, source: str = "zotero") -> None:
@@ -112,7 +106,7 @@ class Snapshot:
 
     fitted: lof.FittedLibrary
     centroids: DataFrame
-    excluded_stats: DataFrame
+    stats: dict[str, int]
 
 
 def prepare_library(
@@ -124,18 +118,31 @@ def prepare_library(
         store.read("papers"), store.embeddings_of(model_id), settings.source, model_id
     ).withColumn("ord", F.col("paper_id"))
     centroids = store.centroids(model_id).select("collection_path", "centroid", "ord")
-    kept = rows
+    barred = None
     if settings.excluded_names:
         collections = store.read("collections")
         excluded = cut(hierarchy.excluded_collections(collections, settings.excluded_names))
-        kept = hierarchy.library_after_exclusion(rows, store.memberships(), excluded)
+        barred = hierarchy.fully_excluded_papers(store.memberships(), excluded)
         centroids = without_excluded(centroids, hierarchy.collection_paths(collections), excluded)
-    fitted = lof.fit(cut(kept), settings.lof_neighbors, **knn_options)
-    fitted = lof.FittedLibrary(cut(fitted.rows), fitted.count, fitted.dim, fitted.neighbors)
-    before = rows.agg(F.count(F.lit(1)).alias("library_before"))
-    after = fitted.rows.agg(F.count(F.lit(1)).alias("library_after"))
-    used = centroids.agg(F.count(F.lit(1)).alias("centroids"))
-    return Snapshot(fitted, cut(centroids), _one_row(before, after, used))
+    library, stats = _kept_rows(rows, barred)
+    fitted = lof.fit(library, settings.lof_neighbors, **knn_options)
+    fitted = replace(fitted, about=cut(fitted.about))
+    centroids, used = cut_counting(centroids, centroids=F.count(F.lit(1)))
+    return Snapshot(fitted, centroids, {**stats, **used})
+
+
+def _kept_rows(rows: DataFrame, barred: DataFrame | None) -> tuple[DataFrame, dict[str, int]]:
+    """The stored library rows that are not barred, and how many there were."""
+    if barred is None:
+        kept, seen = cut_counting(rows, library_after=F.count(F.lit(1)))
+        return kept, {"library_before": seen["library_after"], **seen}
+    marked = rows.join(barred.withColumn("barred", F.lit(True)), "paper_id", "left")
+    marked, seen = cut_counting(
+        marked,
+        library_before=F.count(F.lit(1)),
+        library_after=F.count_if(F.col("barred").isNull()),
+    )
+    return marked.where(F.col("barred").isNull()).drop("barred"), seen
 
 
 @dataclass(frozen=True)
@@ -167,7 +174,8 @@ def score_papers(
         )
     )
     items = relevance.digest_items(rows)
-    return DigestResult(rows, items, _one_row(relevance.run_stats(rows), snapshot.excluded_stats))
+    library = {name: F.lit(value) for name, value in snapshot.stats.items()}
+    return DigestResult(rows, items, relevance.run_stats(rows).withColumns(library))
 
 
 def deliver(
@@ -181,7 +189,7 @@ def deliver(
         write_items(digest.ranked(result.items), f"{out}/items", run_date)
         digest.write_text(lines, f"{out}/text/run_date={run_date}")
         result.stats.write.mode("overwrite").parquet(f"{out}/stats/run_date={run_date}")
-    return DigestResult(result.rows, result.items, result.stats, lines, result.extra)
+    return replace(result, lines=lines)
 
 
 def write_items(items: DataFrame, path: str, run_date: str) -> None:
@@ -211,21 +219,15 @@ def score_feed(
 ) -> DigestResult:
     """Score the papers of category listings and deliver their digest."""
     if threshold is not None:
-        settings = _with_threshold(settings, threshold)
-    feed = cut(feeds.listed_papers(listings, metadata))
-    if feed.isEmpty():
+        settings = replace(settings, threshold=threshold)
+    feed, seen = cut_counting(feeds.listed_papers(listings, metadata), n=F.count(F.lit(1)))
+    if not seen["n"]:
         return NO_DIGEST
     snapshot = prepare_library(store, using, settings, **knn_options)
     result = score_papers(feed, snapshot, using, settings, **knn_options)
     return deliver(result, run_date, out, dry_run, short)
 
 
-def _with_threshold(settings: Settings, threshold: float) -> Settings:
-    from dataclasses import replace
-
-    return replace(settings, threshold=threshold)
-
-
 def score_links(
     spark: SparkSession,
     store: TableStore,
@@ -246,17 +248,16 @@ def score_links(
     """
     wanted, skipped = links.read_links(spark, links_path, domain)
     wanted = cut(wanted)
-    feed = cut(feeds.enrich(wanted, metadata))
+    feed, seen = cut_counting(feeds.enrich(wanted, metadata), n=F.count(F.lit(1)))
     extra = {
         "skipped": digest.skip_report(skipped),
         "missing": feeds.missing_metadata(wanted, metadata),
     }
-    if feed.isEmpty():
+    if not seen["n"]:
         return DigestResult(None, None, None, extra=extra)
     snapshot = prepare_library(store, using, settings, **knn_options)
     result = score_papers(feed, snapshot, using, settings, **knn_options)
-    result = DigestResult(result.rows, result.items, result.stats, extra=extra)
-    return deliver(result, run_date, out, dry_run)
+    return deliver(replace(result, extra=extra), run_date, out, dry_run)
 
 
 # ---- command of the library path ---------------------------------------------

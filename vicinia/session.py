@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = 8, app_name: str = "vicinia", **conf: str) -> SparkSession:
@@ -47,7 +47,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a table in the shared folder and drop its lineage.
+
+    A written table outlives any executor, and later readers load only the
+    columns they use.
+    """
+    return cut_counting(df)[0]
+
+
+def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut`, with aggregates of the rows taken while they are written."""
+    path = scratch_path(df.sparkSession, "cut")
+    found: dict[str, int] = {}
+    if counts:
+        seen = Observation()
+        df.observe(seen, *[value.alias(name) for name, value in counts.items()]).write.parquet(path)
+        found = seen.get
+    else:
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), found
