@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
-from ..session import cut
+from ..session import cut, ship
 from .kernels import nearest, to_matrix
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -69,6 +69,7 @@ def knn(
     then the lower ``paper_id``. Vectors that are not valid are left out.
     ``exclude_self`` drops the pair of a row with itself.
     """
+    ship(queries.sparkSession)
     if dim is None or library_rows is None:
         library_rows, dim = vector_profile(library)
     query_type = queries.schema["query_id"].dataType
