@@ -9,6 +9,7 @@ that run into cycles end after log2(n).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,31 +120,46 @@ def _cut_cycles(linked: DataFrame, count: int) -> DataFrame:
     )
 
 
-def collection_paths(collections: DataFrame) -> DataFrame:
-    """``key, path``: names from the root down, each ended by ``/``."""
+@dataclass(frozen=True)
+class Tree:
+    """Collections with resolved parents, stored once for several questions."""
+
+    linked: DataFrame
+    count: int
+
+
+def stored_tree(collections: DataFrame | Tree) -> Tree:
+    if isinstance(collections, Tree):
+        return collections
     linked, seen = cut_counting(_linked(collections), n=F.count(F.lit(1)))
+    return Tree(linked, seen["n"])
+
+
+def collection_paths(collections: DataFrame | Tree) -> DataFrame:
+    """``key, path``: names from the root down, each ended by ``/``."""
+    tree = stored_tree(collections)
     own = F.concat(text.strip(F.coalesce(text.not_empty("name"), F.col("key"))), F.lit("/"))
     extend: Merge = {"path": lambda own, above: F.concat(above, own)}
 
     def named(nodes: DataFrame) -> DataFrame:
         return nodes.select("key", "up", own.alias("path"))
 
-    found, still_open = _climb(named(linked), extend, HOPEFUL_STEPS)
+    found, still_open = _climb(named(tree.linked), extend, HOPEFUL_STEPS)
     if still_open:
-        found, _ = _climb(named(_cut_cycles(linked, seen["n"])), extend)
+        found, _ = _climb(named(_cut_cycles(tree.linked, tree.count)), extend)
     return found.select("key", "path")
 
 
-def excluded_collections(collections: DataFrame, names: Sequence[str]) -> DataFrame:
+def excluded_collections(collections: DataFrame | Tree, names: Sequence[str]) -> DataFrame:
     """``key`` of each collection whose own name or an ancestor's is one of ``names``."""
+    tree = stored_tree(collections)
     if not text.normalize_terms(list(names)):
-        return collections.select("key").where(F.lit(False))
-    linked, seen = cut_counting(_linked(collections), n=F.count(F.lit(1)))
+        return tree.linked.select("key").where(F.lit(False))
     hit = text.excluded_name("name", names)
-    nodes = linked.select("key", F.when(~hit, F.col("up")).alias("up"), hit.alias("hit"))
+    nodes = tree.linked.select("key", F.when(~hit, F.col("up")).alias("up"), hit.alias("hit"))
     # A walk on a cycle without a match has seen all of it after n levels.
     settled, _ = _climb(
-        nodes, {"hit": lambda own, above: own | above}, max(1, seen["n"].bit_length()), stop="hit"
+        nodes, {"hit": lambda own, above: own | above}, max(1, tree.count.bit_length()), stop="hit"
     )
     return settled.where("hit").select("key")
 

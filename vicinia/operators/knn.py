@@ -14,7 +14,8 @@ Three physical plans give the same rows; sizes measured on the data choose one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
-from ..session import cut, ship
+from ..session import cut, ship, spread
 from .kernels import nearest, to_matrix
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
+# A search of fewer rows is cheaper than moving the queries to more tasks.
+SPREAD_ROWS = 1024
 # Slack on Euclidean bounds: distances are rounded to 1e-12, so lengths on the
 # unit sphere are good to about 1e-6.
 SLACK = 2e-6
+# Candidates among which pivots far apart are chosen.
+SPREAD_PIVOTS = 8192
+# Routed query rows built at once in a task.
+ROUTES_AT_ONCE = 16384
 ZERO_CELL = -1
 FIRST_ROWS_CELL = -2
 
@@ -105,6 +112,8 @@ def knn(
 
     wanted = k + 1 if exclude_self else k
     if strategy == "library":
+        if library_rows >= SPREAD_ROWS:
+            queries = spread(queries)
         return _with_library_broadcast(queries, library, k, wanted, dim, exclude_self, pairs)
     if strategy == "queries":
         found = _with_queries_broadcast(queries, library, wanted, dim, pairs)
@@ -210,21 +219,30 @@ def _with_queries_broadcast(
 
 
 def _pair_table(
-    matrix: np.ndarray, query_ids: pa.Array, block: pa.Table, dim: int, wanted: int
+    matrix: np.ndarray,
+    query_ids: pa.Array,
+    block: pa.Table,
+    dim: int,
+    wanted: int,
+    bound: np.ndarray | None = None,
 ) -> pa.Table:
-    """The best pairs of a query matrix with one block already in tie order."""
+    """The best pairs, within ``bound``, of a query matrix with a block in tie order."""
     ids = block["paper_id"].combine_chunks()
     ords = block["ord"].combine_chunks()
     parts = []
     for start, found, distance in nearest(matrix, to_matrix(block["embedding"], dim), wanted):
         owner = np.repeat(np.arange(start, start + len(found)), found.shape[1])
+        found, distance = found.ravel(), distance.ravel()
+        if bound is not None:
+            near = distance <= bound[owner]
+            owner, found, distance = owner[near], found[near], distance[near]
         parts.append(
             pa.table(
                 {
                     "query_id": query_ids.take(pa.array(owner)),
                     "neighbor_id": _ragged(ids, found),
                     "neighbor_ord": _ragged(ords, found),
-                    "distance": distance.ravel(),
+                    "distance": distance,
                 }
             )
         )
@@ -332,49 +350,58 @@ def _through_cells(
         )
     )
 
-    route_schema = T.StructType(queries.schema.fields + [T.StructField("cell", T.IntegerType())])
+    def first_visit(matrix: np.ndarray, bound: np.ndarray):
+        return shared_stats.value.first_visit(matrix, wanted)
 
-    def route_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matrix = to_matrix(batch.column("embedding"), dim)
-            rows, cells = shared_stats.value.first_visit(matrix, wanted)
-            yield _routed(batch, rows, cells)
+    def later_visits(matrix: np.ndarray, bound: np.ndarray):
+        return shared_stats.value.later_visits(matrix, bound, wanted)
 
-    first = _probe(
-        queries.mapInArrow(route_first, route_schema), blocks, splits, wanted, dim, pairs, block_rows
-    )
+    # No cosine distance exceeds 2.
+    unbounded = queries.withColumn("bound", F.lit(2.0))
+    first = _probe(unbounded, first_visit, blocks, splits, wanted, dim, pairs, block_rows)
     first = cut(_best(first, k, exclude_self).drop("rank"))
 
     # The k-th distance seen so far bounds how far away a better row can be.
-    bound = first.groupBy("query_id").agg(F.max("distance").alias("bound"))
-
-    def route_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matrix = to_matrix(batch.column("embedding"), dim)
-            limit = batch.column("bound").to_numpy(zero_copy_only=False)
-            rows, cells = shared_stats.value.later_visits(matrix, limit, wanted)
-            yield _routed(batch.drop_columns(["bound"]), rows, cells)
-
-    rest = _probe(
-        queries.join(bound, "query_id").mapInArrow(route_rest, route_schema),
-        blocks, splits, wanted, dim, pairs, block_rows,
-    )
+    bounds = first.groupBy("query_id").agg(F.max("distance").alias("bound"))
+    bounded = cut(queries.join(bounds, "query_id"))
+    rest = _probe(bounded, later_visits, blocks, splits, wanted, dim, pairs, block_rows)
     return first.unionByName(rest)
 
 
 def _pivots(
     library: DataFrame, dim: int, rows: int, broadcast_bytes: int, block_rows: int
 ) -> np.ndarray:
-    """Non-zero library vectors drawn by hash; as many as blocks, within the budget."""
-    count = max(1, min(-(-rows // block_rows), broadcast_bytes // (8 * dim)))
+    """Non-zero library vectors drawn by hash, within the broadcast budget.
+
+    At least one per block; for smaller libraries twice the root of their size,
+    which keeps cells tight enough to be ruled out.
+    """
+    wanted = max(-(-rows // block_rows), 2 * math.isqrt(rows))
+    budget = max(1, broadcast_bytes // (8 * dim))
+    count = min(wanted, budget)
+    drawn = min(budget, max(count, min(4 * count, SPREAD_PIVOTS)))
     usable = library.where(F.exists("embedding", lambda x: x != 0.0)).select("embedding")
-    drawn = usable.where(F.pmod(F.xxhash64("embedding"), F.lit(rows)) < 2 * count).limit(count)
-    table = drawn.toArrow()
+    sample = usable.where(F.pmod(F.xxhash64("embedding"), F.lit(rows)) < 2 * drawn)
+    table = sample.limit(drawn).toArrow()
     if table.num_rows == 0:
         table = usable.limit(1).toArrow()
     if table.num_rows == 0:  # only zero vectors: any direction will do
         return np.eye(1, dim)
-    return to_matrix(table["embedding"], dim)
+    matrix = to_matrix(table["embedding"], dim)
+    return matrix if len(matrix) > SPREAD_PIVOTS else _far_apart(matrix, count)
+
+
+def _far_apart(matrix: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` rows, each the farthest from those before it."""
+    chosen = [0]
+    least = 1.0 - matrix @ matrix[0]
+    while len(chosen) < min(count, len(matrix)):
+        chosen.append(int(least.argmax()))
+        if least[chosen[-1]] <= 0.0:
+            chosen.pop()
+            break
+        np.minimum(least, 1.0 - matrix @ matrix[chosen[-1]], out=least)
+    return matrix[chosen]
 
 
 def _lengths(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -382,18 +409,6 @@ def _lengths(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(2.0 - 2.0 * (matrix @ pivots.T), 0.0, 4.0))
 
 
-def _routed(batch: pa.RecordBatch, rows: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
-    taken = pa.Table.from_batches([batch]).take(pa.array(rows, pa.int64()))
-    taken = taken.append_column("cell", pa.array(cells.astype(np.int32)))
-    return taken.combine_chunks().to_batches()[0] if len(rows) else _empty(taken)
-
-
-def _empty(table: pa.Table) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([], field.type) for field in table.schema], schema=table.schema
-    )
-
-
 class _CellStats:
     """What the router knows of each cell: pivot, size and range of radii."""
 
@@ -437,7 +452,8 @@ class _CellStats:
 
 
 def _probe(
-    routes: DataFrame,
+    queries: DataFrame,
+    visit: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
     blocks: DataFrame,
     splits: DataFrame,
     wanted: int,
@@ -445,22 +461,50 @@ def _probe(
     pairs: T.StructType,
     block_rows: int,
 ) -> DataFrame:
-    """Meet every routed query with every part of its cell.
+    """Meet every query with every part of the cells that ``visit`` names for it.
 
     A cell of n rows is split by hash into n/block_rows parts, and the q queries
     routed to it into q/block_rows slices; a task holds one part and one slice.
+    Only pairs within a query's ``bound`` come back.
     """
-    routes = cut(routes)
-    asked = routes.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("slices")
+
+    def visits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        bound = batch.column("bound").to_numpy(zero_copy_only=False)
+        return visit(to_matrix(batch.column("embedding"), dim), bound)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, number = np.unique(visits(batch)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells.astype(np.int32)), pa.array(number.astype(np.int64))], ["cell", "n"]
+            )
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cells = visits(batch)
+            table = pa.Table.from_batches([batch])
+            for start in range(0, len(rows), ROUTES_AT_ONCE):
+                some = slice(start, start + ROUTES_AT_ONCE)
+                taken = table.take(pa.array(rows[some], pa.int64()))
+                taken = taken.append_column("cell", pa.array(cells[some].astype(np.int32)))
+                yield from taken.to_batches()
+
+    # Routing runs twice, once to count: that is cheaper than storing each
+    # query's vector once per cell it visits.
+    asked = (
+        queries.mapInArrow(count, "cell int, n long")
+        .groupBy("cell")
+        .agg(F.ceil(F.sum("n") / block_rows).cast("int").alias("slices"))
     )
     # One row per cell, bounded by the number of pivots.
-    layout = F.broadcast(asked.join(splits, "cell"))
+    layout = F.broadcast(cut(asked.join(splits, "cell")))
+    route_schema = T.StructType(queries.schema.fields + [T.StructField("cell", T.IntegerType())])
     left = (
-        routes.join(layout, "cell")
+        queries.mapInArrow(route, route_schema)
+        .join(layout, "cell")
         .withColumn("slice", F.pmod(F.xxhash64(F.lit(1), "query_id"), F.col("slices")))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("query_id", "embedding", "cell", F.col("part").cast("long"), "slice")
+        .select("query_id", "embedding", "bound", "cell", F.col("part").cast("long"), "slice")
     )
     right = (
         blocks.join(layout, "cell")
@@ -473,6 +517,7 @@ def _probe(
     def meet(asking: pa.Table, block: pa.Table) -> pa.Table:
         ids = asking["query_id"].combine_chunks()
         matrix = to_matrix(asking["embedding"], dim)
-        return _pair_table(matrix, ids, _in_tie_order(block), dim, wanted)
+        bound = asking["bound"].to_numpy()
+        return _pair_table(matrix, ids, _in_tie_order(block), dim, wanted, bound)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, pairs)

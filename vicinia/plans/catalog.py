@@ -340,15 +340,18 @@ shelf_means AS (SELECT path, pos, avg(x) AS m FROM shelf_values GROUP BY path, p
 """
 
 
-def _shelf_centroids(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _shelf_centroids(
+    spark: SparkSession, folder: str
+) -> tuple[hierarchy.Tree, DataFrame, DataFrame]:
     collections, memberships = given.shelves(spark, folder)
     collections = cut(collections)
-    paths = hierarchy.collection_paths(collections)
+    tree = hierarchy.stored_tree(collections)
+    paths = hierarchy.collection_paths(tree)
     found = centroids.collection_centroids(
         collections, paths, memberships, given.vectors(spark, folder)
     )
     # Ties are told apart by path, which the SQL side knows as well.
-    return collections, paths, found.withColumn("ord", F.col("collection_path"))
+    return tree, paths, found.withColumn("ord", F.col("collection_path"))
 
 
 @query(
@@ -376,8 +379,8 @@ SELECT vec_id AS query_id, path AS closest_collection,
 )
 def nearest_collection(spark: SparkSession, folder: str) -> DataFrame:
     """The shelf or topic nearest to each vector, less two excluded ones."""
-    collections, paths, found = _shelf_centroids(spark, folder)
-    gone = hierarchy.excluded_collections(collections, ["SRC3", "topic0"])
+    tree, paths, found = _shelf_centroids(spark, folder)
+    gone = hierarchy.excluded_collections(tree, ["SRC3", "topic0"])
     found = cut(centroids.without_excluded(found, paths, gone))
     queries = given.vectors(spark, folder).withColumnRenamed("paper_id", "query_id")
     return centroids.nearest_collection(queries, found).withColumn(

@@ -120,10 +120,10 @@ def prepare_library(
     centroids = store.centroids(model_id).select("collection_path", "centroid", "ord")
     barred = None
     if settings.excluded_names:
-        collections = store.read("collections")
-        excluded = cut(hierarchy.excluded_collections(collections, settings.excluded_names))
+        tree = hierarchy.stored_tree(store.read("collections"))
+        excluded = hierarchy.excluded_collections(tree, settings.excluded_names)
         barred = hierarchy.fully_excluded_papers(store.memberships(), excluded)
-        centroids = without_excluded(centroids, hierarchy.collection_paths(collections), excluded)
+        centroids = without_excluded(centroids, hierarchy.collection_paths(tree), excluded)
     library, stats = _kept_rows(rows, barred)
     fitted = lof.fit(library, settings.lof_neighbors, **knn_options)
     fitted = replace(fitted, about=cut(fitted.about))

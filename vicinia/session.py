@@ -66,6 +66,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work a task per core where the input is too small to have them.
+
+    An input of less than one file split per core, by the optimiser's estimate,
+    is shuffled round-robin. A larger one already has enough splits and stays
+    where it lies.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < split * cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and drop its lineage.
 
