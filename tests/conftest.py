@@ -10,6 +10,10 @@ from vicinia.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "vicinia-tests")
+    session = local_session(
+        4,
+        "vicinia-tests",
+        **{"spark.default.parallelism": "2", "spark.sql.shuffle.partitions": "3"},
+    )
     yield session
     session.stop()

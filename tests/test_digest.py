@@ -86,11 +86,12 @@ def test_order_is_score_then_feed_order(spark):
 
 def test_rank_of_one_hot_group(spark):
     rng = random.Random(4)
-    rows = [("hot" if rng.random() < 0.9 else "cold", rng.randint(0, 3), i) for i in range(500)]
+    groups = ["hot"] * 7 + ["cold", None]
+    rows = [(rng.choice(groups), rng.randint(0, 3), i) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, v long, i long").repartition(7)
     ranked = ranking.distributed_rank(df, ["g"], [F.col("v").desc(), F.col("i")])
     want = {}
-    for group in ("hot", "cold"):
+    for group in ("hot", "cold", None):
         for place, row in enumerate(sorted((r for r in rows if r[0] == group), key=lambda r: (-r[1], r[2])), 1):
             want[row[2]] = place
     assert {r.i: r["rank"] for r in ranked.collect()} == want

@@ -28,13 +28,21 @@ def distributed_rank(
     offsets = (
         ranged.groupBy(*groups, "_range")
         .count()
-        .select(*groups, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+        .select(
+            *[F.col(g).alias(f"_of_{g}") for g in groups],
+            F.col("_range").alias("_of_range"),
+            F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"),
+        )
     )
+    # NULL is a group like any other.
+    same = F.col("_range") == F.col("_of_range")
+    for group in groups:
+        same &= F.col(group).eqNullSafe(F.col(f"_of_{group}"))
     within = Window.partitionBy("_range", *groups).orderBy(*order)
     # One row per range: bounded by the number of shuffle partitions and groups.
     return (
         ranged.withColumn("_place", F.row_number().over(within))
-        .join(F.broadcast(offsets), [*groups, "_range"])
+        .join(F.broadcast(offsets), same)
         .withColumn(rank, F.col("_before") + F.col("_place"))
-        .drop("_before", "_place", "_range")
+        .drop("_before", "_place", "_range", "_of_range", *[f"_of_{g}" for g in groups])
     )

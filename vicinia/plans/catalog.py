@@ -157,7 +157,7 @@ def library_density(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"WITH {SQL_SPLIT}, {SQL_PAPERS}, {sql_lof(SQL_SPLIT_LIB, SQL_SPLIT_QRY, 5)} "
-    "SELECT q AS query_id, rn AS rank, o AS neighbor_id, round(1.0 - d, 9) AS similarity, "
+    "SELECT q AS query_id, rn::INTEGER AS rank, o AS neighbor_id, round(1.0 - d, 9) AS similarity, "
     "coalesce(nullif(trim(title), ''), o::VARCHAR) AS title "
     "FROM qry_pairs LEFT JOIN papers ON doc_id = o WHERE rn <= 5"
 )
