@@ -28,6 +28,9 @@ SQL: dict[str, str] = {}
 TERMS = ["License", " über ", "@", "thanin", ""]
 # Scores of the given vectors lie close together; this splits them about in half.
 VECTOR_THRESHOLD = 0.6216
+# About the middle of what turns score against documents, and documents against passages.
+TURN_THRESHOLD = 0.05
+PASSAGE_THRESHOLD = 0.626
 HASH_MODEL = embed.model("hash", "64")
 
 
@@ -1066,7 +1069,7 @@ turns AS (SELECT conv_id || '.' || turn || 'v1' AS key, role = 'assistant' AS is
 """
 
 FEED_SETTINGS = Settings(
-    threshold=0.6,
+    threshold=TURN_THRESHOLD,
     always_include_terms=tuple(TERMS),
     excluded_collections=("SRC3", "de"),
     source="given",
@@ -1097,11 +1100,11 @@ judged AS (
 best AS (SELECT q, round(1.0 - d, 6) AS best_match FROM qry_pairs WHERE rn = 1)
 SELECT key AS paper_id, score AS max_similarity, best_match,
        round(closest_collection_score, 6) AS closest_collection_score,
-       score < 0.6 AS override_by_terms,
-       CASE WHEN score < 0.6 THEN array_to_string(terms, '|') ELSE '' END AS override_terms,
+       score < {TURN_THRESHOLD} AS override_by_terms,
+       CASE WHEN score < {TURN_THRESHOLD} THEN array_to_string(terms, '|') ELSE '' END AS override_terms,
        CASE WHEN is_update THEN 'update' ELSE 'new' END AS section,
        row_number() OVER (PARTITION BY is_update ORDER BY score DESC, ord) AS rank
-FROM judged JOIN best ON q = key WHERE score >= 0.6 OR len(terms) > 0"""
+FROM judged JOIN best ON q = key WHERE score >= {TURN_THRESHOLD} OR len(terms) > 0"""
 )
 def score_feed(spark: SparkSession, folder: str) -> DataFrame:
     """The feed job: all conversation turns against the library of all documents."""
@@ -1164,11 +1167,11 @@ linked AS (
 {sql_lof(SQL_BENCHMARK_LIB, "SELECT key AS q, v FROM l")}
 SELECT canonical || 'v2' AS paper_id, {SQL_SCORE} AS max_similarity,
        row_number() OVER (ORDER BY {SQL_SCORE} DESC, first_seen) AS rank
-FROM linked JOIN scored ON q = canonical WHERE {SQL_SCORE} >= 0.55"""
+FROM linked JOIN scored ON q = canonical WHERE {SQL_SCORE} >= {PASSAGE_THRESHOLD}"""
 )
 def score_links(spark: SparkSession, folder: str) -> DataFrame:
     """The links job: linked documents against the library of benchmark passages."""
-    settings = Settings(threshold=0.55, source="given", score_digits=6)
+    settings = Settings(threshold=PASSAGE_THRESHOLD, source="given", score_digits=6)
     store, _ = _benchmark_snapshot(spark, folder, settings)
     path = scratch_path(spark, "links")
     # Range-sorted files: their names follow page order, as line numbers do within each.
@@ -1200,11 +1203,11 @@ WITH {SQL_BENCHMARK_HASH},
 {sql_hash("SELECT doc_id AS key, 'Abstract: ' || text AS txt FROM documents", "d")},
 {sql_lof(SQL_BENCHMARK_LIB, "SELECT key AS q, v FROM d")}
 SELECT q::VARCHAR AS paper_id, {SQL_SCORE} AS max_similarity FROM scored
-WHERE {SQL_SCORE} >= 0.55"""
+WHERE {SQL_SCORE} >= {PASSAGE_THRESHOLD}"""
 )
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, read as a stream, against the library of benchmark passages."""
-    settings = Settings(threshold=0.55, source="given", score_digits=6)
+    settings = Settings(threshold=PASSAGE_THRESHOLD, source="given", score_digits=6)
     _, snapshot = _benchmark_snapshot(spark, folder, settings)
     schema = given.table(spark, folder, "documents").schema
     arriving = (
