@@ -57,12 +57,13 @@ def test_paths(spark):
     }
 
 
-def test_cycle_is_cut_at_the_first_entry(spark):
-    assert paths(spark, [("A", "A", "B"), ("B", "B", "A")]) == {"A": "B/A/", "B": "B/"}
-    assert paths(spark, [("S", "S", "S")]) == {"S": "S/"}
-    # The tail comes first and enters the cycle at Y.
-    rows = [("tail", "t", "Y"), ("X", "X", "Y"), ("Y", "Y", "Z"), ("Z", "Z", "X")]
-    assert paths(spark, rows) == expected_paths(rows)
+def test_cycles_are_cut_at_their_first_entry(spark):
+    # A pair, a node above itself, and a tail that comes first and enters its cycle at Y.
+    rows = [("A", "A", "B"), ("B", "B", "A"), ("S", "S", "S"),
+            ("tail", "t", "Y"), ("X", "X", "Y"), ("Y", "Y", "Z"), ("Z", "Z", "X")]
+    got = paths(spark, rows)
+    assert got == expected_paths(rows)
+    assert (got["A"], got["B"], got["S"]) == ("B/A/", "B/", "S/")
 
 
 @pytest.mark.parametrize("seed", [1, 2])

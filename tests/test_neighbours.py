@@ -108,32 +108,31 @@ def test_only_zero_vectors(spark):
     assert_same(found(got), brute(data, data, 2))
 
 
-def test_cells_leave_far_cells_out(spark):
-    """Tight clusters: the routes stay near one cell per query."""
+def test_cells_leave_far_cells_out():
+    """Tight clusters: a query's bound rules out most cells."""
     from vicinia.operators import knn as module
 
     data = clustered(np.random.default_rng(1), 600)
-    visits = []
-    original = module._CellStats.later_visits
-
-    def count(self, matrix, bound, wanted):
-        rows, cells = original(self, matrix, bound, wanted)
-        visits.append((len(rows), len(matrix) * len(self.pivots)))
-        return rows, cells
-
-    stats = module._CellStats(
-        pivots=unit(data[:24]), n=None, inner=None, outer=None, zeros=0
-    )
-    gap = module._lengths(unit(data), stats.pivots)
+    pivots = module._far_apart(unit(data), 24)
+    gap = module._lengths(unit(data), pivots)
     cell = gap.argmin(axis=1)
     radius = gap[np.arange(len(cell)), cell]
-    stats.n = np.bincount(cell, minlength=24)
-    stats.inner = np.array([radius[cell == c].min() if (cell == c).any() else 0 for c in range(24)])
-    stats.outer = np.array([radius[cell == c].max() if (cell == c).any() else 0 for c in range(24)])
-    bound = np.array([brute(data, data, 5)[str(i), 5][1] for i in range(len(data))])
-    count(stats, unit(data), bound, 5)
-    asked, possible = visits[0]
-    assert asked < possible / 3
+    each = range(len(pivots))
+    stats = module._CellStats(
+        pivots=pivots,
+        n=np.bincount(cell, minlength=len(pivots)),
+        inner=np.array([radius[cell == c].min(initial=2.0) for c in each]),
+        outer=np.array([radius[cell == c].max(initial=0.0) for c in each]),
+        zeros=0,
+    )
+    want = brute(data, data, 5)
+    bound = np.array([want[str(i), 5][1] for i in range(len(data))])
+    rows, cells = stats.later_visits(unit(data), bound, 5)
+    assert len(rows) < len(data) * len(pivots) / 3
+    # No cell left out holds a neighbour.
+    seen = {*zip(rows.tolist(), cells.tolist()), *zip(*[x.tolist() for x in stats.first_visit(unit(data), 5)])}
+    for (query, _), (neighbour, _) in want.items():
+        assert (int(query), int(cell[int(neighbour)])) in seen
 
 
 def test_sizes_choose_the_plan(spark):

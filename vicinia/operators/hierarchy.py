@@ -144,7 +144,9 @@ def collection_paths(collections: DataFrame | Tree) -> DataFrame:
     def named(nodes: DataFrame) -> DataFrame:
         return nodes.select("key", "up", own.alias("path"))
 
-    found, still_open = _climb(named(tree.linked), extend, HOPEFUL_STEPS)
+    # No path is longer than the number of nodes.
+    steps = min(HOPEFUL_STEPS, max(1, tree.count.bit_length()))
+    found, still_open = _climb(named(tree.linked), extend, steps)
     if still_open:
         found, _ = _climb(named(_cut_cycles(tree.linked, tree.count)), extend)
     return found.select("key", "path")
