@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, rules, shards
+from . import bpe, language, mixing, pii, rules, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
 
+def public_vocabulary() -> bpe.Vocabulary:
+    """The vocabulary of the third operator's query."""
+    import public_tokenizers
+
+    return bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids of every document and of what they decode to."""
+    documents = table(spark, folder, "documents")
+    coded = bpe.encode(documents, public_vocabulary(), round_trip=True)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query()
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """The shard of every document."""
@@ -39,6 +56,22 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.place(documents, ["doc_id"], SHARDS)
 
 
+@query()
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(table(spark, folder, "documents"))
+
+
+@query()
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Base and added spans of every document."""
+    documents = table(spark, folder, "documents")
+    found = pii.detect(documents, pii.train(documents))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added"
+    )
+
+
 @query(mixing.MIX_SQL)
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words the mix takes of every document."""
