@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, pii, rules, shards
+from . import bpe, language, mixing, pii, rules, shards, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
 
+#: Windows and their first occurrence by an exact comparison of all windows.
+REPEATS_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+repeats AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM repeats),
+gone_lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(
+         CASE WHEN ps IS NULL THEN w
+              ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(ps, x[2])),
+                                  lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN gone_lists USING (doc_id)
+"""
+
+
+@query(REPEATS_SQL)
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What repeated passages leave of every document."""
+    kept = substring.remove_repeats(table(spark, folder, "documents"), digest=True)
+    return kept.withColumnRenamed("kept", "kept_sha256")
+
+
 def public_vocabulary() -> bpe.Vocabulary:
     """The vocabulary of the third operator's query."""
     import public_tokenizers
