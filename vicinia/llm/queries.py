@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, pii, rules, shards, substring
+from . import bpe, language, mixing, near, pii, rules, shards, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
 
+#: Exact similarities of all documents that share a run of words, and what they reach.
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+runs AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
+@query(NEAR_SQL)
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return near.near_duplicates(table(spark, folder, "documents"), threshold=85)
+
+
 #: Windows and their first occurrence by an exact comparison of all windows.
 REPEATS_SQL = r"""
 WITH words AS (
