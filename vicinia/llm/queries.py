@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, near, pii, rules, shards, substring
+from . import bpe, language, mixing, near, neighbours, pii, rules, shards, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +123,25 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+#: The records that the archives must give back.
+WARC_SQL = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+groups AS (SELECT digest, max(page_id) AS keeper FROM sized WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s.digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM sized s LEFT JOIN groups g ON s.digest = g.digest
+"""
+
+
+@query(WARC_SQL)
+def op6_web_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """What the archives of all pages give back."""
+    found = warc.round_trip(table(spark, folder, "pages"), keep_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Base and added spans of every document."""
@@ -139,6 +158,12 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query()
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return neighbours.search(table(spark, folder, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0)
+
+
 @query()
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base verdict and posterior verdict of every document."""
