@@ -204,24 +204,30 @@ def predict_slice(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return chance.argmax(axis=1), chance.max(axis=1), letters[offsets[1:]] > letters[offsets[:-1]]
 
 
-def predict(df: DataFrame, model: Model, *, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` with the predicted language, its calibrated score and ``rejected``."""
+def predict(
+    df: DataFrame, model: Model, *, text: str = "text", lang: str = "lang_pred", score: str = "score",
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """Columns ``keep`` (all, if not given), the predicted language, its calibrated score and ``rejected``."""
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c not in (lang, score, "rejected")]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in (lang, score, "rejected")]
     # Columns travel by place: their names may be anything.
     schema = T.StructType(
         [T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(kept)]
         + [T.StructField("l", T.StringType()), T.StructField("s", T.DoubleType()), T.StructField("r", T.BooleanType())]
     )
 
+    # The text travels once, whether it is kept or not.
+    extra = text not in kept
+    at = len(kept) if extra else kept.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
-            column = batch.column(0)
-            for first, last, data, offsets in text_slices(column):
+            for first, last, data, offsets in text_slices(batch.column(at)):
                 if model.languages:
                     best, scores, lettered = predict_slice(model, data, offsets)
                     for k in np.flatnonzero(~lettered):
@@ -230,14 +236,14 @@ def predict(df: DataFrame, model: Model, *, text: str = "text", lang: str = "lan
                     best, scores, lettered = (np.zeros(last - first, t) for t in (int, float, bool))
                 best = np.where(lettered, best, len(model.languages))
                 scores = np.where(lettered, scores, 0.0)
-                out = [c.slice(first, last - first) for c in batch.columns[1:]]
+                out = [c.slice(first, last - first) for c in batch.columns[: len(kept)]]
                 out += [
                     pa.array(names[best].tolist(), pa.string()), pa.array(scores, pa.float64()),
                     pa.array(~lettered | (scores < model.reject_below), pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    rows = df.select(F.col(text).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)])
+    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], *[F.col(text).alias("t")][: int(extra)])
     return rows.mapInArrow(run, schema).toDF(*kept, lang, score, "rejected")
 
 
@@ -255,4 +261,4 @@ def identify(
     """
     model = train(documents.where(~held_out(F.col(row_id))), text=text, label=label, row_id=row_id)
     rows = documents.select(F.col(row_id), F.col(text).alias("_text"), held_out(F.col(row_id)).alias("held_out"))
-    return predict(rows, model, text="_text").select(row_id, "held_out", "lang_pred", "score", "rejected")
+    return predict(rows, model, text="_text", keep=(row_id, "held_out"))
