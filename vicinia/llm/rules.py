@@ -1,11 +1,14 @@
 """Quality rules by weak supervision, with DataFrame functions only.
 
 Each rule votes for good (1), votes for bad (-1) or abstains (0), by two
-thresholds on one measure. Nobody knows which rule is right: expectation
-maximisation over the counts of vote patterns estimates how often each rule is
-right when it votes and how many documents are good, from all documents. A
-document stays if the posterior probability that it is good is at least
-``keep_from``.
+thresholds on one measure. Nobody knows which rule is right. Documents are taken to
+be good, or bad with one of the rules' faults in the main: faults differ, and a bad
+document shows few of them. Expectation maximisation over the counts of vote
+patterns estimates, from all documents, how often each rule casts each vote on the
+documents of each class, and how large the classes are. A rule that hardly ever
+votes against a good document carries weight when it does, though others see
+nothing wrong; one that often does carries little. A document stays if the
+posterior probability that it is good is at least ``keep_from``.
 
 Defined results: a null or empty text has no words, all measures are 0 and the
 base rule fails it; the ratios of a text without words count as 0; repeated rows
@@ -55,9 +58,13 @@ RULES = (
     Rule("stops", "n_stops / greatest(n_words, 1)", 0.3, 0.8),
     Rule("sentences", "n_stops / greatest(n_words, 1)", 0.03, 0.005),
 )
-START_ACCURACY, START_GOOD = 0.8, 0.8
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.995
-ROUNDS, CLOSE_ENOUGH = 30, 1e-4
+VOTES = (-1, 0, 1)
+#: How often good documents get each vote, those with a rule's fault from that rule, and from others.
+START_GOOD, START_FAULT, START_OTHER = (0.001, 0.199, 0.8), (0.9, 0.05, 0.05), (0.2, 0.2, 0.6)
+GOOD_SHARE = 0.8
+#: Made-up documents of each class that vote as at the start: they keep unused votes where they are.
+PRIOR = 2.0
+ROUNDS, CLOSE_ENOUGH = 15, 1e-3
 
 
 def measures(documents: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,45 +124,67 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def log_odds(accuracies: list[float], good: float) -> Column:
-    """The posterior log-odds of good, given the votes."""
-    total = F.lit(math.log(good / (1 - good)))
-    for rule, accuracy in zip(RULES, accuracies, strict=True):
-        total = total + F.col(f"vote_{rule.name}") * F.lit(math.log(accuracy / (1 - accuracy)))
-    return total
+@dataclass(frozen=True)
+class Estimates:
+    """Shares of the classes (good first, then one for each rule's fault), and their votes by class, rule and vote."""
+
+    shares: tuple[float, ...]
+    rates: tuple[tuple[tuple[float, ...], ...], ...]
+
+
+def start() -> Estimates:
+    n = len(RULES)
+    faults = [tuple(START_FAULT if j == k else START_OTHER for j in range(n)) for k in range(n)]
+    return Estimates((GOOD_SHARE, *[(1 - GOOD_SHARE) / n] * n), ((START_GOOD,) * n, *faults))
 
 
-def posterior(accuracies: list[float], good: float) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds(accuracies, good)))
+def posteriors(estimates: Estimates) -> Column:
+    """The probability of each class, given the votes: an array, good first."""
+    scores = []
+    for share, rates in zip(estimates.shares, estimates.rates, strict=True):
+        score = F.lit(math.log(share))
+        for rule, own in zip(RULES, rates, strict=True):
+            table = F.array(*[F.lit(math.log(r)) for r in own])
+            score = score + F.element_at(table, F.col(f"vote_{rule.name}").cast("int") + 2)
+        scores.append(score)
+    raised = F.transform(F.array(*scores), lambda x: F.exp(x - F.array_max(F.array(*scores))))
+    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda total, y: total + y))
 
 
-def estimate(patterns: DataFrame) -> tuple[list[float], float]:
-    """Accuracy of each rule and share of good documents, from vote patterns and their counts.
+def estimate(patterns: DataFrame) -> Estimates:
+    """Shares and votes of the classes from vote patterns and their counts ``n``.
 
     There are at most 3 ** rules patterns, however many documents.
     """
-    accuracies, good = [START_ACCURACY] * len(RULES), START_GOOD
+    found = start()
+    votes = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"vote_{r.name}").alias("vote")) for k, r in enumerate(RULES)])
     for _ in range(ROUNDS):
-        rows = patterns.withColumn("_p", posterior(accuracies, good))
-        sums = [F.sum("n"), F.sum(F.col("n") * F.col("_p"))]
-        for rule in RULES:
-            vote = F.col(f"vote_{rule.name}")
-            right = F.when(vote == 1, F.col("_p")).when(vote == -1, 1 - F.col("_p")).otherwise(0.0)
-            sums += [F.sum(F.col("n") * right), F.sum(F.when(vote != 0, F.col("n")).otherwise(0))]
-        row = rows.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()
-        if not row[0]:
+        rows = patterns.select("n", votes.alias("votes"), F.posexplode(posteriors(found)).alias("class", "p"))
+        rows = rows.select("class", (F.col("n") * F.col("p")).alias("mass"), F.explode("votes").alias("v"))
+        # One row for each class, rule and vote.
+        sums = rows.groupBy("class", "v.rule", "v.vote").agg(F.sum("mass").alias("mass")).collect()
+        mass = {(r["class"], r["rule"], r["vote"]): r["mass"] for r in sums}
+        sizes = [sum(mass.get((c, 0, v), 0.0) for v in VOTES) for c in range(len(found.shares))]
+        if not sum(sizes):
             break
-        # One made-up vote of the starting accuracy for each rule keeps unused rules where they are.
-        new = [
-            min(MOST_ACCURACY, max(LEAST_ACCURACY, (row[2 + 2 * k] + START_ACCURACY) / (row[3 + 2 * k] + 1)))
-            for k in range(len(RULES))
-        ]
-        share = min(0.999, max(0.001, row[1] / row[0]))
-        moved = max(abs(a - b) for a, b in zip([*new, share], [*accuracies, good], strict=True))
-        accuracies, good = new, share
+        begin = start()
+        rates = tuple(
+            tuple(
+                tuple(
+                    (mass.get((c, k, v), 0.0) + PRIOR * before) / (sizes[c] + PRIOR)
+                    for v, before in zip(VOTES, begin.rates[c][k], strict=True)
+                )
+                for k in range(len(RULES))
+            )
+            for c in range(len(sizes))
+        )
+        total = sum(sizes) + PRIOR
+        shares = tuple((size + PRIOR * before) / total for size, before in zip(sizes, begin.shares, strict=True))
+        moved = max(abs(a - b) for a, b in zip(shares, found.shares, strict=True))
+        found = Estimates(shares, rates)
         if moved < CLOSE_ENOUGH:
             break
-    return accuracies, good
+    return found
 
 
 def judge(documents: DataFrame, row_id: str = "doc_id", text: str = "text", keep_from: float = 0.5) -> DataFrame:
@@ -165,6 +194,5 @@ def judge(documents: DataFrame, row_id: str = "doc_id", text: str = "text", keep
     rows = cut(rows.select("*", *votes))
     names = [f"vote_{rule.name}" for rule in RULES]
     patterns = cut(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    accuracies, good = estimate(patterns)
-    rows = rows.withColumn("quality", posterior(accuracies, good)).withColumn("base_failed", base_failed())
+    rows = rows.withColumn("quality", posteriors(estimate(patterns))[0]).withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
