@@ -52,7 +52,9 @@ _U = np.uint64
 
 #: Packed rows: the part that gets them, documents with their counts, and a name and a place for each entry.
 _PACKED = "part int, ids binary, ties binary, counts binary, first binary, second binary, places binary"
-_MARKS = "id bigint, tie bigint, places binary"
+#: Packed marks: the part that gets them, documents with their counts, and the places.
+_PLACES = "part int, ids binary, ties binary, counts binary, places binary"
+_MARKS = "id bigint, tie int, marks binary"
 
 
 def recompress(words: np.ndarray, owner: np.ndarray, rounds: str = ROUNDS):
@@ -96,7 +98,13 @@ def recompress(words: np.ndarray, owner: np.ndarray, rounds: str = ROUNDS):
 
 
 def _bytes(x: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(x, kind).tobytes()
+    """Numbers with all their lowest bytes first: small ones are then mostly zeros in a row, which compress."""
+    return np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
 class _Packer:
@@ -199,7 +207,7 @@ def _packed(part, rows, first, second, places, ids, ties, chosen, parts) -> Iter
         spread = int(_U(ids[row[0]].astype(np.uint64) + _U(number)) % _U(parts))
         out["part"].append(-1 - spread if mark else int(part[a]))
         out["ids"].append(_bytes(ids[row[heads]], "<i8"))
-        out["ties"].append(_bytes(ties[row[heads]], "<i8"))
+        out["ties"].append(_bytes(ties[row[heads]], "<i4"))
         out["counts"].append(_bytes(np.diff([*heads, len(row)]), "<i4"))
         out["first"].append(b"" if mark else _bytes(first[own], "<u8"))
         out["second"].append(b"" if mark else _bytes(second[own], "<u4"))
@@ -208,32 +216,30 @@ def _packed(part, rows, first, second, places, ids, ties, chosen, parts) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=[*out])
 
 
-def _marks(ids, ties, places) -> Iterator[pa.RecordBatch]:
-    """One row per document of places sorted by document."""
-    if not len(ids):
-        return
-    heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])]))
-    ends = np.concatenate([heads, [len(ids)]]).astype(np.int64)
-    data = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(heads), [None, pa.py_buffer(ends * 4), pa.py_buffer(_bytes(places, "<i4"))]
-    ).cast(pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(ties[heads]), data], names=["id", "tie", "places"])
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the sorted columns changes, and the end."""
+    n = len(columns[0])
+    change = np.zeros(n, bool)
+    change[:1] = True
+    for x in columns:
+        change[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(change), n)
 
 
-def _judge(verify: bool):
-    """Marks of all packed rows of a part."""
+def _judge(verify: bool, parts: int):
+    """Marks of all packed rows of a part, packed for the parts of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = []
+        gathered, marks = [], []
         for batch in batches:
             for row in batch.to_pylist():
-                ids, ties = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ties"], "<i8")
-                counts, places = np.frombuffer(row["counts"], "<i4"), np.frombuffer(row["places"], "<i4")
+                counts = _from(row["counts"], "<i4")
+                ids, ties = (np.repeat(_from(row[c], k), counts) for c, k in (("ids", "<i8"), ("ties", "<i4")))
+                places = _from(row["places"], "<i4")
                 if row["part"] < 0:
-                    yield from _marks(np.repeat(ids, counts), np.repeat(ties, counts), places)
+                    marks.append((ids, ties, places))
                 else:
-                    first, second = np.frombuffer(row["first"], "<u8"), np.frombuffer(row["second"], "<u4")
-                    gathered.append((np.repeat(ids, counts), np.repeat(ties, counts), first, second, places))
+                    gathered.append((ids, ties, _from(row["first"], "<u8"), _from(row["second"], "<u4"), places))
         if gathered:
             ids, ties, first, second, places = (np.concatenate(x) for x in zip(*gathered, strict=True))
             gathered.clear()
@@ -241,17 +247,55 @@ def _judge(verify: bool):
             known = None if verify else second > 0
             order, marked = settle(first, second, ids, ties, places, verify, known)
             found = order[marked]
-            found = found[np.lexsort((places[found], ties[found], ids[found]))]
-            yield from _marks(ids[found], ties[found], places[found])
+            marks.append((ids[found], ties[found], places[found]))
+        if not marks:
+            return
+        ids, ties, places = (np.concatenate(x) for x in zip(*marks, strict=True))
+        to = (mix(ids.astype(np.uint64)) % _U(parts)).astype(np.int32)
+        order = np.lexsort((places, ties, ids, to))
+        to, ids, ties, places = to[order], ids[order], ties[order], places[order]
+        documents = _heads(to, ids, ties)
+        rows = {k: [] for k in ("part", "ids", "ties", "counts", "places")}
+        for a, b in zip(*(lambda h: (h[:-1], h[1:]))(_heads(to)), strict=True):
+            own = documents[np.searchsorted(documents, a) : np.searchsorted(documents, b)]
+            rows["part"].append(int(to[a]))
+            rows["ids"].append(_bytes(ids[own], "<i8"))
+            rows["ties"].append(_bytes(ties[own], "<i4"))
+            rows["counts"].append(_bytes(np.diff(np.append(own, b)), "<i4"))
+            rows["places"].append(_bytes(places[a:b], "<i4"))
+        kinds = [pa.int32()] + [pa.binary()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=[*rows])
 
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with all its marks."""
+    marks = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            counts = _from(row["counts"], "<i4")
+            marks.append(
+                (np.repeat(_from(row["ids"], "<i8"), counts), np.repeat(_from(row["ties"], "<i4"), counts),
+                 _from(row["places"], "<i4"))
+            )
+    if not marks:
+        return
+    ids, ties, places = (np.concatenate(x) for x in zip(*marks, strict=True))
+    order = np.lexsort((places, ties, ids))
+    ids, ties, places = ids[order], ties[order], places[order]
+    heads = _heads(ids, ties)
+    data = [_bytes(np.unique(places[a:b]), "<i4") for a, b in zip(heads, heads[1:], strict=False)]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids[heads[:-1]]), pa.array(ties[heads[:-1]]), pa.array(data, pa.binary())], names=["id", "tie", "marks"]
+    )
+
+
 def _gathered_marks(packed: DataFrame, parts: int, verify: bool) -> DataFrame:
-    """``(id, tie, marks)``: for every document with marks a list of packed places."""
+    """``(id, tie, marks)``: for every document with marks its packed places."""
     dealt = packed.repartitionById(parts, F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")))
-    found = dealt.mapInArrow(_judge(verify), _MARKS)
-    return found.groupBy("id", "tie").agg(F.collect_list("places").alias("marks"))
+    found = dealt.mapInArrow(_judge(verify, parts), _PLACES)
+    return found.repartitionById(parts, F.col("part")).mapInArrow(_merge, _MARKS)
 
 
 def _slices(batch: pa.RecordBatch, column: int = 0):
@@ -272,7 +316,9 @@ def _symbols(parts: int, window: int, rounds: str):
         packer = _Packer(parts, verify=False)
         for batch in batches:
             for first, last, data, _, starts, ends, words in _slices(batch):
-                ids, ties = _columns(batch, first, last, 1, 2)
+                # A mark too many only leaves a window to be verified, so the ID alone will do here.
+                (ids,) = _columns(batch, first, last, 1)
+                ties = np.zeros(len(ids), np.int32)
                 owner = np.repeat(np.arange(last - first), np.diff(words))
                 name, own, begin, _, left, right = recompress(hash_words(data, starts, ends), owner, rounds)
                 use = right - left <= window
@@ -316,8 +362,8 @@ def _candidates(window: int, rounds: str, digest: bool):
                     own, place, left, right = own[use], place[use], left[use], right[use]
                     marked = np.zeros(len(data) + 1, bool)
                     for k in range(first, last):
-                        for piece in marks[k].as_py() or ():
-                            marked[words[k - first] + np.frombuffer(piece, "<i4")] = True
+                        if marks[k].is_valid:
+                            marked[words[k - first] + _from(marks[k].as_py(), "<i4")] = True
                     bad = ~marked[place]
                     total = int(words[-1])
                     change = np.zeros(total + 2, np.int64)
@@ -337,7 +383,7 @@ def _candidates(window: int, rounds: str, digest: bool):
                         rows["kept"].append(None if len(windows) else _out(_joined(content), digest))
                         rows["packed"].append(squeeze.compress(content) if len(windows) else None)
                         rows["windows"].append(_ranges(windows) if len(windows) else None)
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=names
                     )
@@ -349,7 +395,7 @@ def _ranges(numbers: np.ndarray) -> bytes:
     """Sorted numbers as starts and lengths of their runs."""
     head = np.flatnonzero(np.concatenate([[True], np.diff(numbers) != 1]))
     length = np.diff(np.concatenate([head, [len(numbers)]]))
-    return _bytes(np.stack([numbers[head], length], 1), "<i4")
+    return np.stack([numbers[head], length], 1).astype("<i4").tobytes()
 
 
 def _numbers(packed: bytes) -> np.ndarray:
@@ -391,9 +437,10 @@ def _removed(window: int, digest: bool):
             for text, count, marks in zip(batch.column(0), batch.column(3), batch.column(4), strict=True):
                 words = count.as_py()
                 change = np.zeros(words + window + 1, np.int64)
-                for piece in marks.as_py() or ():
-                    np.add.at(change, np.frombuffer(piece, "<i4"), 1)
-                    np.add.at(change, np.frombuffer(piece, "<i4") + window, -1)
+                if marks.is_valid:
+                    places = _from(marks.as_py(), "<i4")
+                    change[places] += 1
+                    change[places + window] -= 1
                 stays = np.cumsum(change)[:words] == 0
                 gone.append(int(words - stays.sum()))
                 kept.append(_out(_joined(expand.decompress(text.as_py()), stays.tolist()), digest))
@@ -429,15 +476,15 @@ def remove_repeats(
     rows = documents.select(
         F.col(text).alias("text"),
         F.coalesce(F.col(row_id).cast("bigint"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(F.col(text)).alias("tie"),
+        F.hash(F.col(text)).alias("tie"),
     )
     shared = _gathered_marks(rows.mapInArrow(_symbols(parts, window, rounds), _PACKED), parts, verify=False)
-    packed = rows.mapInArrow(_compressed, "packed binary, id bigint, tie bigint")
-    judged = packed.join(shared, ["id", "tie"], "left").select("packed", "id", "tie", "marks")
+    packed = rows.mapInArrow(_compressed, "packed binary, id bigint, tie int")
+    judged = packed.join(shared.drop("tie"), "id", "left").select("packed", "id", "tie", "marks")
     judged = cut(
         judged.mapInArrow(
             _candidates(window, rounds, digest),
-            "id bigint, tie bigint, n_words bigint, kept string, packed binary, windows binary",
+            "id bigint, tie int, n_words bigint, kept string, packed binary, windows binary",
         )
     )
     left = judged.where(F.col("windows").isNotNull())
