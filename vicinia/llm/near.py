@@ -12,11 +12,13 @@ are the components of the links.
    itself, and fewer beyond; without exception where sets fit their sketch). So
    of each sketch only its rarest values, all but ``needed - 1``, need a list, and
    values that nobody else retained use up their places without one.
-3. In each list, all documents are compared with the first of about their size.
+3. In each list, all documents are compared with the first.
 4. Only lists that still hold several components go on: their documents outside
    the commonest component are compared, in blocks, with those of other
-   components. Overlaps of longer sketches estimate the similarity (union
-   sketch); what may reach the threshold, and nothing else, leaves the block.
+   components. Overlaps of longer sketches (small sets are compared whole)
+   estimate the similarity from the union sketch; what may reach the threshold,
+   and nothing else, leaves the block, and only that of the first list that two
+   documents share.
 5. Every pair is confirmed on full sets.
 
 A list of thousands of copies costs a row for each in step 3, and step 4 sees only
@@ -48,13 +50,13 @@ from .components import components
 
 SHINGLE = 5
 SKETCH = 64
-#: Values of the sketches compared in blocks.
+#: Sets up to this size are compared whole in blocks; of larger ones, sketches of LONG_SKETCH values.
+WHOLE = 256
 LONG_SKETCH = 128
 #: Standard deviations below the expected overlap that a sketch may fall.
 MARGIN = 4.5
-#: Documents of a block, and pairs of one document in a task.
+#: Documents of a block.
 BLOCK = 512
-PAIRS = 256
 #: IDs that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 NO_ID = -(1 << 63)
@@ -151,105 +153,121 @@ def may_reach(shared: np.ndarray, total: np.ndarray, threshold: int) -> np.ndarr
 
 
 def _confirm(threshold: int):
-    """Links among rows sorted by pivot, the pivot's own row first."""
+    """The rows whose two sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            left, right = [], []
-            for p, other, hashes in zip(*(batch.column(c) for c in ("pivot", "other", "hashes")), strict=True):
-                values = np.frombuffer(hashes.as_buffer(), "<u8")
-                if other.as_py() is None:
-                    pivot, own = p.as_py(), values.copy()
-                    continue
-                if p.as_py() != pivot:
-                    raise ValueError("a pair came before the set of its first document")
-                if not may_reach(*estimate(own, values, 4 * SKETCH), threshold):
-                    continue
-                shared = overlap(own, values)
-                if 100 * shared >= threshold * (len(own) + len(values) - shared):
-                    left.append(other.as_py())
-                    right.append(pivot)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                linked = may_reach(*estimate(a, b, 4 * SKETCH), threshold)
+                if linked:
+                    shared = overlap(a, b)
+                    linked = 100 * shared >= threshold * (len(a) + len(b) - shared)
+                keep.append(bool(linked))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The ``pairs(pivot, other)`` that reach the threshold on full sets, as ``(a, b)``."""
-    pairs = cut(pairs)
-    pivots = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("parts"))
-    # A pivot of many pairs is copied to several tasks.
-    salted = pairs.join(pivots, "pivot").select(
-        "pivot", F.col("other").alias("id"), F.pmod(F.xxhash64("other"), F.col("parts")).alias("part")
+    """The ``pairs(a, b)`` that reach the threshold on full sets. Joins split a document of many pairs."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b"
     )
-    others = salted.join(sets.select("id", "hashes"), "id").select(
-        "pivot", "part", F.col("id").alias("other"), "hashes"
-    )
-    own = pivots.select(
-        F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
-    ).join(sets.select("id", "hashes"), "id").select(
-        F.col("id").alias("pivot"), "part", F.lit(None).cast("bigint").alias("other"), "hashes"
+    return both.select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a bigint, b bigint")
+
+
+def _incidence(lists: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``values`` each list holds, as a matrix of 0 and 1."""
+    out = np.zeros((len(lists), len(values)), np.float32)
+    if len(values):
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        flat = np.concatenate(lists)
+        at = np.searchsorted(values, flat)
+        at[at == len(values)] = 0
+        hit = values[at] == flat
+        out[row[hit], at[hit]] = 1
+    return out
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each list of ``a`` shares with each of ``b``."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    return _incidence(a, both) @ _incidence(b, both).T
+
+
+def compare(block: list, batch: list, value: int, threshold: int) -> list[tuple[int, int]]:
+    """Pairs of a row of the block and a row of the batch that may be linked.
+
+    Rows are ``(id, component, n, sketch, listed)``; ``value`` is the list that brought them together.
+    """
+    ids, comps, sizes = (np.array([r[c] for r in block]) for c in range(3))
+    others, their, counts = (np.array([r[c] for r in batch]) for c in range(3))
+    fits = (comps[:, None] != their[None, :]) & (
+        100 * np.minimum(sizes[:, None], counts[None, :]) >= threshold * np.maximum(sizes[:, None], counts[None, :])
     )
-    rows = own.unionByName(others).repartition("pivot", "part")
-    rows = rows.sortWithinPartitions("pivot", "part", F.col("other").asc_nulls_first())
-    return rows.mapInArrow(_confirm(threshold), "a bigint, b bigint")
+    # A pair belongs to the smallest of the lists that it shares.
+    fits &= _shared([r[4][r[4] < value] for r in block], [r[4][r[4] < value] for r in batch]) == 0
+    rows, columns = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+    if not len(rows):
+        return []
+    shared = np.zeros(fits.shape, np.float32)
+    mine, yours = [block[k][3][:LONG_SKETCH] for k in rows], [batch[k][3][:LONG_SKETCH] for k in columns]
+    shared[np.ix_(rows, columns)] = _shared(mine, yours)
+    short, shorter = np.minimum(sizes, LONG_SKETCH), np.minimum(counts, LONG_SKETCH)
+    total = np.minimum(short[:, None] + shorter[None, :] - shared, LONG_SKETCH)
+    fits &= may_reach(shared, total, threshold)
+    out = []
+    for i, j in zip(*np.nonzero(fits), strict=True):
+        a, b = block[i][3], batch[j][3]
+        if max(sizes[i], counts[j]) <= WHOLE:
+            common = overlap(a, b)
+            good = 100 * common >= threshold * (len(a) + len(b) - common)
+        else:
+            good = may_reach(*estimate(a, b, LONG_SKETCH), threshold)
+        if good:
+            out.append((int(ids[i]), int(others[j])))
+    return out
 
 
 def _blocks(threshold: int):
-    """Pairs of a block that may be linked: rows sorted by list and block, the block's own rows first."""
-
-    def pairs(block: list, batch: list) -> list[tuple[int, int]]:
-        """Pairs of a row of the block and a row of the batch, of different components."""
-        sizes = [len(s) for _, _, _, s in block]
-        values = np.concatenate([s for _, _, _, s in block])
-        owner = np.repeat(np.arange(len(block)), sizes)
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        ids, comps, counts = (np.array([r[c] for r in block]) for c in range(3))
-        out = []
-        for other, comp, count, sketch in batch:
-            low, high = np.searchsorted(values, sketch, "left"), np.searchsorted(values, sketch, "right")
-            lengths = high - low
-            hit = np.repeat(low - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
-            shared = np.bincount(owner[hit], minlength=len(block))
-            fits = (comps != comp) & (ids != other)
-            fits &= 100 * np.minimum(counts, count) >= threshold * np.maximum(counts, count)
-            # The union sketch holds at most this many values, and at least all it can of the larger one.
-            total = np.minimum(np.array(sizes) + len(sketch) - shared, LONG_SKETCH)
-            fits &= may_reach(shared, total, threshold)
-            for k in np.flatnonzero(fits):
-                exact, union = estimate(block[k][3], sketch, LONG_SKETCH)
-                if may_reach(exact, union, threshold):
-                    out.append((int(ids[k]), int(other)))
-        return out
+    """Pairs of blocks: rows sorted by list and block, the block's own rows first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, block, batch = None, [], []
+        found: set[tuple[int, int]] = set()
+
+        def work() -> None:
+            if block and batch:
+                found.update((max(p), min(p)) for p in compare(block, batch, place[0], threshold))
+
+        def result() -> pa.RecordBatch:
+            pairs = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
+            )
+
         for rows in batches:
-            found: list[tuple[int, int]] = []
             columns = [rows.column(c).to_pylist() for c in ("value", "block", "mine", "id", "component", "n")]
-            for value, number, mine, id_, component, count, sketch in zip(
-                *columns, rows.column("sketch"), strict=True
+            for value, number, mine, id_, component, count, sketch, listed in zip(
+                *columns, rows.column("sketch"), rows.column("listed"), strict=True
             ):
                 if (value, number) != place:
-                    if block and batch:
-                        found += pairs(block, batch)
+                    work()
                     place, block, batch = (value, number), [], []
-                row = (id_, component, count, np.frombuffer(sketch.as_buffer(), "<u8").copy())
+                row = (
+                    id_, component, count, np.frombuffer(sketch.as_buffer(), "<u8").copy(),
+                    listed.values.to_numpy(),
+                )
                 (block if mine else batch).append(row)
                 if len(batch) >= BLOCK:
-                    found += pairs(block, batch)
+                    work()
                     batch = []
-            if block and batch:
-                found += pairs(block, batch)
-                batch = []
-            # Each pair once, from the larger ID.
-            found = sorted({(max(p), min(p)) for p in found})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[1] for p in found], pa.int64()), pa.array([p[0] for p in found], pa.int64())],
-                names=["pivot", "other"],
-            )
+            yield result()
+        work()
+        yield result()
 
     return run
 
@@ -260,8 +278,8 @@ def sketches(documents: DataFrame, row_id: str, text: str, size: int = SHINGLE)
     return rows.mapInArrow(_sketches(size, SKETCH), "id bigint, n bigint, key binary, sketch array<bigint>")
 
 
-def inverted_lists(classes: DataFrame, threshold: int) -> DataFrame:
-    """``(value, id, n)``: the documents that a retained value leads to."""
+def listed_values(classes: DataFrame, threshold: int) -> DataFrame:
+    """``(id, n, listed)``: the values by which a document is found."""
     retained = classes.select("id", "n", F.explode("sketch").alias("value"))
     common = retained.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = retained.join(common, "value").groupBy("id", "n").agg(
@@ -276,9 +294,7 @@ def inverted_lists(classes: DataFrame, threshold: int) -> DataFrame:
     # Values of nobody else are the rarest and come first.
     places = length - needed + 1 - (length - F.size("found"))
     listed = shared.withColumn("places", places.cast("int")).where("places > 0")
-    return listed.select("id", "n", F.explode(F.slice("found", F.lit(1), F.col("places"))).alias("e")).select(
-        F.col("e.value").alias("value"), "id", "n"
-    )
+    return listed.select("id", "n", F.slice("found", F.lit(1), F.col("places")).getField("value").alias("listed"))
 
 
 def near_duplicates(
@@ -292,54 +308,66 @@ def near_duplicates(
     classes = found.where("n > 0").groupBy("key").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    lists = cut(inverted_lists(classes, threshold))
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    lists = cut(lists.join(sizes, "value"))
+    listed = cut(listed_values(classes, threshold))
+    entries = listed.select("id", "n", F.explode("listed").alias("value"))
+    firsts = (
+        entries.groupBy("value")
+        .agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("length"))
+        .where("length > 1")
+    )
+    lists = cut(
+        entries.join(firsts, "value").select("value", "id", "n", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n"))
+    )
     wanted = cut(lists.select("id").distinct())
     texts = documents.select(
         F.col(text).alias("text"), F.coalesce(F.col(row_id).cast("bigint"), F.lit(NO_ID)).alias("id")
     )
     few = wanted.count() <= BROADCAST_IDS
     texts = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("text", "id")
-    sets = texts.mapInArrow(_full_sets(size), "id bigint, n bigint, hashes binary")
-    sets = cut(sets.groupBy("id").agg(F.max(F.struct("n", "hashes")).alias("s")).select("id", "s.n", "s.hashes"))
+    sets = cut(texts.mapInArrow(_full_sets(size), "id bigint, n bigint, hashes binary"))
 
-    # Step 3: the first of each size in a list.
-    grade = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).alias("grade")
-    graded = lists.select("value", "id", "n", grade)
-    firsts = graded.groupBy("value", "grade").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("pivot_n"))
+    # Step 3: the first of each list.
     stars = (
-        graded.join(firsts, ["value", "grade"])
-        .where("id <> pivot")
+        lists.where("id <> pivot")
         .where(100 * F.least("n", "pivot_n") >= threshold * F.greatest("n", "pivot_n"))
-        .select("pivot", F.col("id").alias("other"))
+        .select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         .distinct()
     )
-    links = cut(confirmed(stars, sets, threshold))
-    parts = cut(components(links))
+    parts = cut(components(confirmed(stars, sets, threshold)))
 
     # Step 4: lists of several components.
     labelled = cut(
         lists.join(parts, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
     )
-    members = labelled.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = (
-        members.groupBy("value")
+        labelled.groupBy("value", "component")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("value")
         .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
         .where("all > most")
         .select("value", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("blocks"))
     )
     rows = labelled.join(mixed, "value")
-    own = rows.where("component <> main").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    columns = ["value", "block", "id", "component", "n"]
-    both = own.select(*columns, F.lit(True).alias("mine")).unionByName(every.select(*columns, F.lit(False).alias("mine")))
-    short = sets.select("id", F.substring("hashes", 1, 8 * LONG_SKETCH).alias("sketch"))
-    both = both.join(short, "id").repartition("value", "block")
-    both = both.sortWithinPartitions("value", "block", F.col("mine").desc())
-    more = both.select(*columns, "mine", "sketch").mapInArrow(_blocks(threshold), "pivot bigint, other bigint").distinct()
-    more = confirmed(more, sets, threshold)
-    parts = cut(components(links.unionByName(more)))
+    sides = F.array(
+        F.when(F.col("component") != F.col("main"), F.struct(F.lit(True).alias("mine"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))),
+        F.struct(F.lit(False).alias("mine"), F.lit(None).cast("bigint").alias("block")),
+    )
+    rows = rows.select("value", "id", "component", "n", "blocks", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("side"))
+    rows = rows.select(
+        "value", "id", "component", "n", "side.mine",
+        F.explode(
+            F.when(F.col("side.mine"), F.array("side.block")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+        ).alias("block"),
+    )
+    length = F.when(F.col("n") <= WHOLE, F.col("n")).otherwise(F.lit(LONG_SKETCH))
+    short = sets.select("id", F.substring(F.col("hashes"), F.lit(1), (8 * length).cast("int")).alias("sketch"))
+    short = short.join(listed.select("id", "listed"), "id")
+    rows = rows.join(short, "id").repartition("value", "block")
+    rows = rows.sortWithinPartitions("value", "block", F.col("mine").desc())
+    more = rows.mapInArrow(_blocks(threshold), "a bigint, b bigint").distinct()
+    more = cut(confirmed(more, sets, threshold))
+    if not more.isEmpty():
+        parts = cut(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     # Back to all documents.
     reach = classes.select("key", "id").join(parts, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
