@@ -173,12 +173,20 @@ def title_or_id(title: Column | str, key: Column | str) -> Column:
 # ---- terms ----------------------------------------------------------------
 
 
-def normalize_terms(raw: object) -> list[str]:
-    """Configured terms as trimmed lower-case text; anything but a list gives none."""
-    if not isinstance(raw, list):
+def configured(values: Iterable[object]) -> list[str]:
+    """Settings values as terms: text without outer blanks, in lower case, without empty ones.
+
+    A single text where a list was meant configures nothing.
+    """
+    if isinstance(values, str):
         return []
-    cleaned = (str(term).strip().lower() for term in raw)
-    return [term for term in cleaned if term]
+    return [term for value in values if (term := f"{value}".lower().strip())]
+
+
+def haystack(title: Column | str, abstract: Column | str) -> Column:
+    """The lower-cased text that terms are looked for in."""
+    none = F.lit("")
+    return F.lower(F.concat(F.coalesce(_col(title), none), F.lit("\n"), F.coalesce(_col(abstract), none)))
 
 
 def string_array(values: Iterable[str]) -> Column:
@@ -189,12 +197,8 @@ def matched_terms(title: Column | str, abstract: Column | str, terms: Sequence[s
     """Terms that occur anywhere in title or abstract, in configured order."""
     if not terms:
         return string_array([])
-    haystack = F.lower(
-        F.concat(
-            F.coalesce(_col(title), F.lit("")), F.lit("\n"), F.coalesce(_col(abstract), F.lit(""))
-        )
-    )
-    hits = [F.when(F.contains(haystack, F.lit(term)), F.lit(term)) for term in terms]
+    searched = haystack(title, abstract)
+    hits = [F.when(F.contains(searched, F.lit(term)), F.lit(term)) for term in terms]
     # Joined and split again, not filtered as an array: array lambdas leave
     # generated code, and the haystack would be built once per term.
     mark = next(c for c in map(chr, range(1, 9)) if not any(c in term for term in terms))
@@ -227,4 +231,4 @@ def section(is_update_flag: Column | str) -> Column:
 
 def excluded_name(name: Column | str, excluded: Sequence[str]) -> Column:
     """The collection name, trimmed and lower-cased, is one of ``excluded``."""
-    return strip(F.lower(F.coalesce(_col(name), F.lit("")))).isin(*normalize_terms(list(excluded)))
+    return strip(F.lower(F.coalesce(_col(name), F.lit("")))).isin(*configured(excluded))
