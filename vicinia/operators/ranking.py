@@ -31,18 +31,19 @@ def distributed_rank(
         .select(
             *[F.col(g).alias(f"_of_{g}") for g in groups],
             F.col("_range").alias("_of_range"),
-            F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"),
+            F.sum("count").over(before).alias("_before"),
         )
+        .where(F.col("_before") > 0)
     )
     # NULL is a group like any other.
     same = F.col("_range") == F.col("_of_range")
     for group in groups:
         same &= F.col(group).eqNullSafe(F.col(f"_of_{group}"))
     within = Window.partitionBy("_range", *groups).orderBy(*order)
-    # One row per range: bounded by the number of shuffle partitions and groups.
+    # At most one group runs on into a range, so there are no more offsets than ranges.
     return (
         ranged.withColumn("_place", F.row_number().over(within))
-        .join(F.broadcast(offsets), same)
-        .withColumn(rank, F.col("_before") + F.col("_place"))
+        .join(F.broadcast(offsets), same, "left")
+        .withColumn(rank, F.coalesce("_before", F.lit(0)) + F.col("_place"))
         .drop("_before", "_place", "_range", "_of_range", *[f"_of_{g}" for g in groups])
     )
