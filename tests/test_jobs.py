@@ -11,6 +11,7 @@ from vicinia.operators import embed
 from vicinia.operators.relevance import Settings
 from vicinia.plans import jobs
 from vicinia.sources import feeds
+from vicinia.schemas import PAPERS
 from vicinia.sources.tables import TableStore
 from vicinia.streaming import stream
 
@@ -129,6 +130,38 @@ def test_score_feed(spark, store, landed, tmp_path):
     assert low.items.count() == 5
 
 
+def test_a_second_run_reads_the_stored_fit(spark, store, monkeypatch):
+    first = jobs.prepare_library(store, PICKY, SETTINGS)
+
+    def fail(*args, **options):
+        raise AssertionError("the library was searched again")
+
+    monkeypatch.setattr("vicinia.operators.lof.knn", fail)
+    again = jobs.prepare_library(store, PICKY, SETTINGS)
+    assert sorted(again.fitted.about.collect()) == sorted(first.fitted.about.collect())
+    assert again.stats["library_left_out"] == 0
+    with pytest.raises(AssertionError):
+        jobs.prepare_library(store, PICKY, Settings(lof_neighbors=3))
+
+
+def test_unusable_rows_are_kept_in_quarantine(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"), buckets=2)
+    rows = [("a", [1.0, 0.0], None), ("b", [1.0], None), ("c", None, "it failed"), ("d", [float("inf"), 1.0], None)]
+    embedded = spark.createDataFrame(rows, "paper_id string, embedding array<double>, error string")
+    _, counts = jobs.store_vectors(store, embedded, PICKY, "run-1")
+    assert counts == {"embedded": 1, "errors": 3}
+    kept = {(r.run, r.table, r.model, r.id) for r in store.read("quarantine").collect()}
+    assert kept == {("run-1", "embeddings", PICKY.model_id, k) for k in "bcd"}
+    assert {r.reason for r in store.read("quarantine").where("id = 'c'").collect()} == {"it failed"}
+    # A vector of another size that is stored already is left out, counted and kept with its reason.
+    store.upsert_embeddings(spark.createDataFrame([("e", [1.0, 2.0, 3.0])], "paper_id string, embedding array<double>"), PICKY.model_id)
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PAPERS.fields)
+    store.upsert_papers(spark.createDataFrame([(k, "zotero", k, [], "", "", None, None, 0) for k in "ae"], names + ", ord long"))
+    snapshot = jobs.prepare_library(store, PICKY, SETTINGS)
+    assert (snapshot.stats["library_after"], snapshot.stats["library_left_out"]) == (2, 1)
+    assert [r.reason for r in store.read("quarantine").where("id = 'e'").collect()] == ["size 3 instead of 2"]
+
+
 def test_exclusion(spark, store, landed):
     listing = feeds.read_listings(spark, {"quant-ph": landed["listing"]})
     metadata = feeds.read_metadata(spark, landed["metadata"])

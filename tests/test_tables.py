@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from vicinia.operators import embed
 from vicinia.schemas import PAPERS
-from vicinia.sources.tables import TableStore, replace_lists
+from vicinia.sources.tables import TableStore
 
 
 def papers(spark, *rows):
@@ -83,11 +83,34 @@ def test_memberships(spark, store):
     assert [r.paper_id for r in store.members("c").collect()] == ["p3"]
 
 
-def test_replace_lists(spark):
-    old = spark.createDataFrame([("p1", "a"), ("p2", "a"), ("p3", "c")], "paper string, key string")
-    new = spark.createDataFrame([("p1", []), ("p2", ["b", "b"])], "paper string, key array<string>")
-    got = replace_lists(old, new, "paper", "key")
-    assert sorted(map(tuple, got.collect())) == [("p2", "b"), ("p3", "c")]
+def test_an_upsert_reads_only_the_buckets_it_touches(spark, store):
+    store.upsert_papers(papers(spark, *[(f"p{k}", "s", "t", []) for k in range(40)]))
+    one = papers(spark, ("p7", "s", "new", [])).withColumn("bucket", store._bucket("id"))
+    touched = store._touched("papers", one)
+    bucket = one.first()["bucket"]
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert f"(bucket#" in plan and f"= {bucket})" in plan.split("PartitionFilters")[1]
+    assert {r.bucket for r in touched.select("bucket").distinct().collect()} == {bucket}
+
+
+def test_replaced_collections_may_derive_from_the_stored_ones(spark, store):
+    cols = "key string, name string, parent_key string, ord long"
+    store.replace_collections(spark.createDataFrame([("a", "A", None, 0)], cols))
+    before = store.read("collections")
+    for _ in range(3):
+        store.replace_collections(store.read("collections").withColumn("name", F.concat("name", F.lit("!"))))
+    assert [r.name for r in store.read("collections").collect()] == ["A!!!"]
+    del before
+    files, folder = store._file_system(f"{store.root}/collections")
+    assert len(files.listStatus(folder)) == 2
+
+
+def test_the_first_vector_settles_the_size_of_a_model(spark, store):
+    none = spark.createDataFrame([], "paper_id string, embedding array<double>")
+    assert store.settle_dimension("m", none) is None
+    first = vecs(spark, ("b", [1.0]), ("a", [1.0, 2.0]), ("c", [3.0]))
+    assert store.settle_dimension("m", first) == 2
+    assert store.settle_dimension("m", vecs(spark, ("0", [1.0]))) == 2 and store.dimension("other") is None
 
 
 def test_collections_and_centroids(spark, store):

@@ -43,17 +43,19 @@ ZERO_CELL = -1
 FIRST_ROWS_CELL = -2
 
 
-def vector_profile(df: DataFrame, vector: str = "embedding") -> tuple[int, int]:
-    """``(rows, dim)`` over the valid vectors of the commonest size."""
-    sizes = (
-        df.where(vectors.is_valid(vector))
-        .groupBy(F.size(vector).alias("dim"))
-        .count()
-        .orderBy(F.desc("count"), "dim")
-        .limit(1)
-        .collect()
-    )
-    return (sizes[0]["count"], sizes[0]["dim"]) if sizes else (0, 0)
+def vector_profile(df: DataFrame, vector: str = "embedding", dim: int | None = None) -> tuple[int, int]:
+    """``(rows, dim)`` of the valid vectors of one size.
+
+    Without ``dim`` the size is that of the first valid vector by ``ord`` and ID: one row more or
+    less of another size does not change it.
+    """
+    order = [c for c in ("ord", "paper_id", "query_id") if c in df.columns]
+    rows = df.where(vectors.is_valid(vector))
+    if dim is None:
+        dim = rows.agg(F.min_by(F.size(vector), F.struct(*order))).first()[0]
+        if dim is None:
+            return 0, 0
+    return rows.where(F.size(vector) == dim).count(), dim
 
 
 def knn(
@@ -78,7 +80,7 @@ def knn(
     """
     ship(queries.sparkSession)
     if dim is None or library_rows is None:
-        library_rows, dim = vector_profile(library)
+        library_rows, dim = vector_profile(library, dim=dim)
     query_type = queries.schema["query_id"].dataType
     id_type = library.schema["paper_id"].dataType
     ord_type = library.schema["ord"].dataType

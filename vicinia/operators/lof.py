@@ -39,7 +39,8 @@ class FittedLibrary:
     ``library(paper_id, ord, embedding)`` and ``about(paper_id, title, kdist, lrd)`` have
     the same rows; searching reads only the one, and scoring joins only the
     other. Below three rows both densities are NULL and scoring falls back to
-    mean similarity.
+    mean similarity. ``left_out(paper_id, reason)`` are the rows that could not
+    be used.
     """
 
     library: DataFrame
@@ -47,18 +48,38 @@ class FittedLibrary:
     count: int
     dim: int
     neighbors: int
+    left_out: DataFrame | None = None
 
     @property
     def rows(self) -> DataFrame:
         return self.library.join(self.about, "paper_id")
 
 
-def fit(library: DataFrame, neighbors: int = 20, **knn_options) -> FittedLibrary:
-    """Fit ``library(paper_id, ord, embedding[, title])``; invalid vectors are left out.
+def unusable(library: DataFrame, dim: int) -> DataFrame:
+    """``(paper_id, reason)`` of rows without a valid vector of the wanted size."""
+    reason = (
+        F.when(F.col("embedding").isNull(), "no vector")
+        .when(F.size("embedding") != dim, F.concat(F.lit("size "), F.size("embedding"), F.lit(f" instead of {dim}")))
+        .otherwise("not finite")
+    )
+    bad = library.where(~vectors.is_valid("embedding", dim))
+    return bad.select("paper_id", reason.alias("reason"))
+
+
+def fit(
+    library: DataFrame,
+    neighbors: int = 20,
+    dim: int | None = None,
+    about: DataFrame | None = None,
+    **knn_options,
+) -> FittedLibrary:
+    """Fit ``library(paper_id, ord, embedding[, title])``; unusable vectors are listed in ``left_out``.
 
-    The library is read several times, so pass it as a stored table.
+    The library is read several times, so pass it as a stored table. ``dim`` is the
+    model's vector size. ``about`` is an earlier fit of the same rows: it is taken as it is.
     """
-    count, dim = vector_profile(library)
+    count, dim = vector_profile(library, dim=dim)
+    left_out = unusable(library, dim)
     if "title" not in library.columns:
         library = library.withColumn("title", F.lit("").cast(T.StringType()))
     rows = library.where(vectors.is_valid("embedding", dim))
@@ -68,7 +89,9 @@ def fit(library: DataFrame, neighbors: int = 20, **knn_options) -> FittedLibrary
     if count < SMALLEST_FITTED_LIBRARY:
         none = F.lit(None).cast("double")
         about = titles.withColumns({"kdist": none, "lrd": none})
-        return FittedLibrary(library, about, count, dim, k)
+        return FittedLibrary(library, about, count, dim, k, left_out)
+    if about is not None:
+        return FittedLibrary(library, about, count, dim, k, left_out)
 
     pairs = cut(
         knn(
@@ -94,7 +117,7 @@ def fit(library: DataFrame, neighbors: int = 20, **knn_options) -> FittedLibrary
         )
     )
     about = titles.join(lrd.withColumnRenamed("query_id", "paper_id"), "paper_id")
-    return FittedLibrary(library, about, count, dim, k)
+    return FittedLibrary(library, about, count, dim, k, left_out)
 
 
 def neighbors_with_density(

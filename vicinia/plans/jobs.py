@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -33,12 +35,15 @@ def sync_library(
     using: embed.Model,
     source: str = "zotero",
     dry_run: bool = False,
+    run: str | None = None,
 ) -> SyncResult:
     """Take in library items and collections, embed what lacks a vector, renew centroids.
 
     ``items`` are rows of :func:`vicinia.sources.library.read_items` and ``collections``
     of ``read_collections``. A dry run still stores items and collections, then
-    lists what it would embed.
+    lists what it would embed. What could not be embedded is kept in the table
+    ``quarantine`` under the name of the ``run``; the counts add up to
+    ``needing_embedding``.
     """
     stored_ids = store.read("papers").select("id", F.lit(True).alias("stored"))
     papers, arrived = cut_counting(
@@ -63,20 +68,32 @@ def sync_library(
         return SyncResult(_stats_row(store.spark, stats), preview=preview)
 
     keyed = waiting.withColumnRenamed("id", "paper_id")
-    valid = vectors.is_valid("embedding")
-    embedded, outcome = cut_counting(
-        embed.embed(embed.with_text(keyed), using).drop("text"),
-        embedded=F.count_if(valid),
-        errors=F.count_if(~valid),
-    )
-    good, bad = embed.split_errors(embedded)
-    store.upsert_embeddings(good, using.model_id, unique=True)
+    bad, outcome = store_vectors(store, embed.embed(embed.with_text(keyed), using).drop("text"), using, run)
     refresh_centroids(store, using.model_id, source)
     stats.update(outcome)
     stats["blank"] = stats["needing_embedding"] - stats["embedded"] - stats["errors"]
     return SyncResult(_stats_row(store.spark, stats), quarantine=bad)
 
 
+def store_vectors(
+    store: TableStore, embedded: DataFrame, using: embed.Model, run: str | None = None
+) -> tuple[DataFrame, dict[str, int]]:
+    """Append the valid vectors of papers that have none, quarantine the rest; returns that and the counts.
+
+    Valid are vectors of the model's size, which its first stored vector has set.
+    """
+    embedded = cut(embedded)
+    dim = store.settle_dimension(using.model_id, embedded)
+    good, bad = embed.split_errors(embedded, dim)
+    store.append_embeddings(good, using.model_id)
+    # Counted from the written table: a task that ran twice does not count twice.
+    counts = embedded.agg(F.count_if(vectors.is_valid("embedding", dim)).alias("good"), F.count(F.lit(1)).alias("n")).first()
+    if counts["n"] > counts["good"]:
+        rows = bad.select(F.col("paper_id").alias("id"), F.col("error").alias("reason"))
+        store.quarantine(rows, "embeddings", using.model_id, run or f"run-{uuid.uuid4().hex}")
+    return bad, {"embedded": counts["good"], "errors": counts["n"] - counts["good"]}
+
+
 def _stats_row(spark: SparkSession, stats: dict[str, int]) -> DataFrame:
     return spark.createDataFrame(
         [tuple(stats.values())], ", ".join(f"{name} long" for name in stats)
@@ -92,7 +109,8 @@ def refresh_centroids(store: TableStore, model_id: str, source: str = "zotero")
         store.read("papers"), store.embeddings_of(model_id), source, model_id
     )
     centroids = collection_centroids(
-        collections, hierarchy.collection_paths(collections), store.memberships(), current
+        collections, hierarchy.collection_paths(collections), store.memberships(), current,
+        store.dimension(model_id),
     )
     store.replace_centroids(centroids, model_id)
 
@@ -125,12 +143,36 @@ def prepare_library(
         barred = hierarchy.fully_excluded_papers(store.memberships(), excluded)
         centroids = without_excluded(centroids, hierarchy.collection_paths(tree), excluded)
     library, stats = _kept_rows(rows, barred)
-    fitted = lof.fit(library, settings.lof_neighbors, **knn_options)
-    fitted = replace(fitted, about=cut(fitted.about))
+    fitted = _stored_fit(store, library, using, settings, **knn_options)
+    stats["library_left_out"] = stats["library_after"] - fitted.count
+    if stats["library_left_out"]:
+        found = fitted.left_out.select(F.col("paper_id").alias("id"), "reason")
+        store.quarantine(found, "embeddings", model_id, f"fit-{uuid.uuid4().hex}")
     centroids, used = cut_counting(centroids, centroids=F.count(F.lit(1)))
     return Snapshot(fitted, centroids, {**stats, **used})
 
 
+def _stored_fit(
+    store: TableStore, library: DataFrame, using: embed.Model, settings: Settings, **knn_options
+) -> lof.FittedLibrary:
+    """The fit of exactly these rows, read if it is stored, else worked out and stored.
+
+    Its name is a digest of the model, the number of neighbours and the rows themselves, so a
+    change of the library or of the exclusions makes another fit. One pass over the rows finds
+    it; the search of the library in itself is saved.
+    """
+    dim = store.dimension(using.model_id)
+    content = F.xxhash64("paper_id", "title", "embedding").cast("decimal(38,0)")
+    other = F.hash("paper_id", "embedding", "title").cast("decimal(38,0)")
+    row = library.agg(F.count(F.lit(1)), F.sum(content), F.sum(other)).first()
+    name = hashlib.sha256(repr((using.model_id, dim, settings.lof_neighbors, *map(str, row))).encode()).hexdigest()
+    about = store.stored_fit(name)
+    fitted = lof.fit(library, settings.lof_neighbors, dim=dim, about=about, **knn_options)
+    if about is None:
+        fitted = replace(fitted, about=store.store_fit(name, fitted.about))
+    return fitted
+
+
 def _kept_rows(rows: DataFrame, barred: DataFrame | None) -> tuple[DataFrame, dict[str, int]]:
     """The stored library rows that are not barred, and how many there were."""
     if barred is None:
@@ -184,9 +226,11 @@ def deliver(
     """Write ranked items (by run date), text and stats, or only build the lines."""
     if result.empty:
         return result
-    lines = digest.digest_lines(result.items, run_date, short)
+    # Ranked once, for the lines and the items.
+    placed = digest.ranked(result.items)
+    lines = digest.digest_lines(placed, run_date, short)
     if out is not None and not dry_run:
-        write_items(digest.ranked(result.items), f"{out}/items", run_date)
+        write_items(placed, f"{out}/items", run_date)
         digest.write_text(lines, f"{out}/text/run_date={run_date}")
         result.stats.write.mode("overwrite").parquet(f"{out}/stats/run_date={run_date}")
     return replace(result, lines=lines)

@@ -52,6 +52,26 @@ CENTROIDS = _struct(
     ("ord", T.LongType()),
 )
 
+#: The vector size of each model, set by the first vector stored for it.
+MODELS = _struct(("model", T.StringType()), ("dim", T.IntegerType()))
+
+#: Rows that a run could not use, with the table they were meant for or found in.
+QUARANTINE = _struct(
+    ("run", T.StringType()),
+    ("table", T.StringType()),
+    ("model", T.StringType()),
+    ("id", T.StringType()),
+    ("reason", T.StringType()),
+)
+
+#: Densities of a library's rows, stored for each state of the library.
+LIBRARY_LOF = _struct(
+    ("paper_id", T.StringType()),
+    ("title", T.StringType()),
+    ("kdist", T.DoubleType()),
+    ("lrd", T.DoubleType()),
+)
+
 FEED = _struct(
     ("paper_id", T.StringType()),
     ("title", T.StringType()),

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import embed
 from ..operators.relevance import Settings
-from ..plans.jobs import Snapshot, refresh_centroids, score_papers
+from ..plans.jobs import Snapshot, refresh_centroids, score_papers, store_vectors
 from ..schemas import FEED
 from ..sources.tables import TableStore, latest_rows
 
@@ -73,8 +73,10 @@ def embed_stream(
 ) -> StreamingQuery:
     """Store arriving papers and embed those that lack a vector, then stop.
 
-    ``papers`` has the stored columns and ``ord``. Both writes are upserts, so a
-    repeated batch changes nothing.
+    ``papers`` has the stored columns and ``ord``. Papers are upserted and only
+    papers without a vector get one, so a repeated batch changes nothing. Papers
+    that could not be embedded are kept in the table ``quarantine`` under the
+    number of their batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -82,8 +84,8 @@ def embed_stream(
         arrived = latest_rows(batch, ["id"], ["ord"])
         waiting = embed.unembedded(arrived, store.read("embeddings"), source, using.model_id)
         keyed = waiting.withColumnRenamed("id", "paper_id")
-        good, _ = embed.split_errors(embed.embed(embed.with_text(keyed), using))
-        store.upsert_embeddings(good, using.model_id)
+        embedded = embed.embed(embed.with_text(keyed), using).drop("text")
+        store_vectors(store, embedded, using, f"stream-{batch_id}")
         if centroids:
             refresh_centroids(store, using.model_id, source)
 
