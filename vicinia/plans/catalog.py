@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -46,6 +46,22 @@ def query(sql: str | None = None):
 
 # ---- shared SQL -------------------------------------------------------------
 
+SQL_PAPER_ID = (
+    "(CASE WHEN {n} < 1000000000 THEN lpad(({n} // 100000)::VARCHAR, 4, '0') || '.' || "
+    "lpad(({n} % 100000)::VARCHAR, 5, '0') ELSE translate(({n} // 10000000)::VARCHAR, '0123456789', 'abcdefghij') "
+    "|| '/' || lpad(({n} % 10000000)::VARCHAR, 7, '0') END)"
+)
+
+
+def paper_number(column: str) -> Column:
+    """A paper ID of its own for every number: of the newer form as long as it can tell them apart."""
+    n = F.col(column)
+    newer = F.concat(F.lpad(F.floor(n / 100000).cast("string"), 4, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"))
+    letters = F.translate(F.floor(n / 10000000).cast("string"), "0123456789", "abcdefghij")
+    older = F.concat(letters, F.lit("/"), F.lpad((n % 10000000).cast("string"), 7, "0"))
+    return F.when(n < 1000000000, newer).otherwise(older)
+
+
 COSINE_DISTANCE = "round(least(2.0, greatest(0.0, 1.0 - list_cosine_similarity({a}, {b}))), 12)"
 
 SQL_PAPERS = """
@@ -464,9 +480,15 @@ def replace_memberships(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"), "o_orderstatus"
     )
     is_open = F.col("o_orderstatus") == "O"
-    old = orders.where(~is_open).select("customer", "priority").distinct()
-    new = orders.where(is_open).groupBy("customer").agg(F.collect_set("priority").alias("priority"))
-    return tables.replace_lists(old, new, "customer", "priority")
+    store = tables.TableStore(spark, scratch_path(spark, "memberships"), buckets=8)
+    for part in (orders.where(~is_open), orders.where(is_open)):
+        lists = part.groupBy(F.col("customer").cast("string").alias("paper_id")).agg(
+            F.collect_set("priority").alias("collection_keys")
+        )
+        store.replace_memberships(lists)
+    return store.memberships().select(
+        F.col("paper_id").cast("bigint").alias("customer"), F.col("collection_key").alias("priority")
+    )
 
 
 @query(
@@ -499,7 +521,7 @@ SELECT doc_id AS paper_id, array_to_string({SQL_TERMS}, '|') AS terms,
 )
 def term_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Configured terms found in each document, in their order."""
-    terms = tx.matched_terms("title", "abstract", tx.normalize_terms(TERMS))
+    terms = tx.matched_terms("title", "abstract", tx.configured(TERMS))
     return given.papers(spark, folder).select(
         "paper_id", F.array_join(terms, "|").alias("terms"), (F.size(terms) > 0).alias("forced")
     )
@@ -564,8 +586,7 @@ def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
 SQL_LINES = """
 lines AS (
   SELECT page_id, form, value FROM (
-    SELECT page_id, '24' || lpad((page_id % 100)::VARCHAR, 2, '0') || '.' ||
-           lpad((page_id % 100000)::VARCHAR, 5, '0') AS pid, url FROM pages) p,
+    SELECT page_id, PAPER_ID_OF_PAGE AS pid, url FROM pages) p,
   LATERAL (VALUES (1, url), (2, url || '/abs/' || pid || 'v1'), (3, '  ' || pid || 'v2 '),
            (4, 'oai:example.org:' || pid), (5, 'http://www.example.org:80/' || pid),
            (6, 'https://www.example.org/abs/' || pid || 'v3'), (7, '# ' || pid), (8, ''),
@@ -582,17 +603,12 @@ parsed AS (
            regexp_replace(nullif(regexp_extract(value,
              '(\\d{4}\\.\\d{4,5}(?:v\\d+)?|[a-z\\-]+(?:\\.[A-Z]{2})?/\\d{7}(?:v\\d+)?)', 1), ''),
              'v\\d+$', '') END AS paper_id FROM hosts)
-"""
+""".replace("PAPER_ID_OF_PAGE", SQL_PAPER_ID.format(n="page_id"))
 
 
 def _link_lines(spark: SparkSession, folder: str) -> DataFrame:
     pages = given.table(spark, folder, "pages").select("page_id", "url")
-    number = F.col("page_id")
-
-    def padded(modulus: int, width: int):
-        return F.lpad((number % modulus).cast("string"), width, "0")
-
-    pid = F.concat(F.lit("24"), padded(100, 2), F.lit("."), padded(100000, 5))
+    pid = paper_number("page_id")
     forms = [
         F.col("url"),
         F.concat("url", F.lit("/abs/"), pid, F.lit("v1")),
@@ -602,7 +618,7 @@ def _link_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("https://www.example.org/abs/"), pid, F.lit("v3")),
         F.concat(F.lit("# "), pid),
         F.lit(""),
-        F.concat(F.lit("math.GT/"), padded(10000000, 7), F.lit("v1")),
+        F.concat(F.lit("math.GT/"), F.lpad((F.col("page_id") % 10000000).cast("string"), 7, "0"), F.lit("v1")),
     ]
     return pages.select("page_id", F.posexplode(F.array(*forms)).alias("form", "value")).select(
         F.col("page_id").alias("path"), (F.col("form") + 1).alias("line_no"), "value"
@@ -652,11 +668,7 @@ def skip_report(spark: SparkSession, folder: str) -> DataFrame:
 def _metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as metadata records: two versions of each paper, made from its number."""
     docs = given.table(spark, folder, "documents")
-    number = F.col("doc_id")
-    pid = F.concat(
-        F.lit("24"), F.lpad((number % 100).cast("string"), 2, "0"), F.lit("."),
-        F.lpad((number % 100000).cast("string"), 5, "0"),
-    )
+    pid = paper_number("doc_id")
     return docs.select(
         F.explode(F.array(F.concat(pid, F.lit("v1")), F.concat(pid, F.lit("v2")))).alias("paper_id"),
         tx.first_line("text").alias("title"),
@@ -666,13 +678,12 @@ def _metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_META = """
 meta AS (
-  SELECT doc_id, '24' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '.' ||
-         lpad((doc_id % 100000)::VARCHAR, 5, '0') AS canonical,
+  SELECT doc_id, PAPER_ID_OF_DOCUMENT AS canonical,
          CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1)
               ELSE text END AS title FROM documents),
 wanted AS (SELECT paper_id, min(page_id * 10 + form) AS first_seen FROM parsed
            WHERE paper_id IS NOT NULL GROUP BY paper_id)
-"""
+""".replace("PAPER_ID_OF_DOCUMENT", SQL_PAPER_ID.format(n="doc_id"))
 
 
 @query(
@@ -720,30 +731,29 @@ def feed_union_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """
-WITH l AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'oai:x:2401.' ||
-             lpad((page_id % 100000)::VARCHAR, 5, '0') ELSE '' END AS guid,
-             url || '/2402.' || lpad((page_id % 100000)::VARCHAR, 5, '0') || 'v1' AS link FROM pages)
+    f"""
+WITH l AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'oai:x:' || {SQL_PAPER_ID.format(n="page_id")}
+             ELSE '' END AS guid,
+             url || '/' || {SQL_PAPER_ID.format(n="page_id")} || 'v1' AS link FROM pages)
 SELECT page_id, regexp_extract(coalesce(nullif(guid, ''), link),
-  '(\\d{4}\\.\\d{4,5}(?:v\\d+)?|[a-z\\-]+(?:\\.[A-Z]{2})?/\\d{7}(?:v\\d+)?)', 1) AS paper_id FROM l"""
+  '(\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?|[a-z\\-]+(?:\\.[A-Z]{{2}})?/\\d{{7}}(?:v\\d+)?)', 1) AS paper_id FROM l"""
 )
 def listing_entries(spark: SparkSession, folder: str) -> DataFrame:
     """IDs of listing entries: the identifier where there is one, else the link."""
-    number = F.lpad((F.col("page_id") % 100000).cast("string"), 5, "0")
+    pid = paper_number("page_id")
     pages = given.table(spark, folder, "pages").select(
         "page_id",
-        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("oai:x:2401."), number))
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("oai:x:"), pid))
         .otherwise("").alias("guid"),
-        F.concat("url", F.lit("/2402."), number, F.lit("v1")).alias("link"),
+        F.concat("url", F.lit("/"), pid, F.lit("v1")).alias("link"),
     )
     return pages.select("page_id", feeds.listing_id("guid", F.lit(""), "link").alias("paper_id"))
 
 
 @query(
-    """
+    f"""
 WITH e AS (
-  SELECT doc_id, '24' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '.' ||
-         lpad((doc_id % 100000)::VARCHAR, 5, '0') || 'v1' AS pid, text, source, lang,
+  SELECT doc_id, {SQL_PAPER_ID.format(n="doc_id")} || 'v1' AS pid, text, source, lang,
          coalesce(quality, 0) AS quality FROM documents LEFT JOIN labels USING (doc_id))
 SELECT doc_id, pid AS paper_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS abstract_digest,
        CASE WHEN lang = 'en' THEN source ELSE source || '|' || lang END AS authors,
@@ -754,13 +764,9 @@ def feed_entries(spark: SparkSession, folder: str) -> DataFrame:
     docs = given.table(spark, folder, "documents").join(
         given.table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left"
     )
-    number = F.col("doc_id")
     entries = docs.select(
         "doc_id",
-        F.concat(
-            F.lit(" http://arxiv.org/abs/24"), F.lpad((number % 100).cast("string"), 2, "0"),
-            F.lit("."), F.lpad((number % 100000).cast("string"), 5, "0"), F.lit("v1 "),
-        ).alias("id"),
+        F.concat(F.lit(" http://arxiv.org/abs/"), paper_number("doc_id"), F.lit("v1 ")).alias("id"),
         F.lit(None).cast("string").alias("title"),
         F.array(
             F.struct(F.concat(F.lit(" "), "source").alias("name")),
@@ -884,7 +890,7 @@ def _arrivals_judged(spark: SparkSession, folder: str, digits: int = 6) -> DataF
     feed = given.feed(spark, folder)
     rows = scores.withColumn("paper_id", F.col("query_id").cast("string")).join(feed, "paper_id")
     rows = rows.withColumn(
-        "matched_terms", tx.matched_terms("title", "abstract", tx.normalize_terms(TERMS))
+        "matched_terms", tx.matched_terms("title", "abstract", tx.configured(TERMS))
     )
     return relevance.judge(rows, VECTOR_THRESHOLD).withColumn("max_similarity", F.col("score"))
 
@@ -952,7 +958,7 @@ def missing_forced(spark: SparkSession, folder: str) -> DataFrame:
     """Term-matching documents that relevance alone would leave out."""
     relevant = _arrivals_judged(spark, folder).where("is_relevant").select("paper_id")
     missing = relevance.missing_forced(
-        given.feed(spark, folder), relevant, tx.normalize_terms(TERMS)
+        given.feed(spark, folder), relevant, tx.configured(TERMS)
     )
     return missing.select("paper_id", F.array_join("matched_terms", "|").alias("terms"))
 
@@ -971,7 +977,7 @@ def complete_forced(spark: SparkSession, folder: str) -> DataFrame:
     relevant = _arrivals_judged(spark, folder).where("is_relevant")
     items = relevant.select("paper_id", "max_similarity", "ord")
     full = relevance.complete_forced(
-        given.feed(spark, folder), items, tx.normalize_terms(TERMS)
+        given.feed(spark, folder), items, tx.configured(TERMS)
     )
     return full.select("paper_id", "max_similarity")
 
@@ -1041,6 +1047,10 @@ def _document_store(spark: SparkSession, folder: str) -> tables.TableStore:
     return store
 
 
+#: Turns that a conversation may have without its order running into the next one's.
+TURNS = 1 << 31
+
+
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as feed metadata; answers count as updates."""
     turns = given.table(spark, folder, "conversations")
@@ -1055,18 +1065,18 @@ def _turns(spark: SparkSession, folder: str) -> DataFrame:
         F.when(answer, "b").otherwise("a").alias("date_updated"),
         answer.alias("is_update"),
         F.array("role").alias("categories"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("ord"),
     )
 
 
 SQL_TURNS = """
 turns AS (SELECT conv_id || '.' || turn || 'v1' AS key, role = 'assistant' AS is_update,
-  conv_id * 1000 + turn AS ord,
+  conv_id * TURNS + turn AS ord,
   CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1)
        ELSE text END AS title,
   CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1)
        ELSE '' END AS abstract FROM conversations)
-"""
+""".replace("TURNS + turn", f"{TURNS} + turn")
 
 FEED_SETTINGS = Settings(
     threshold=TURN_THRESHOLD,
