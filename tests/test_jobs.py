@@ -162,6 +162,21 @@ def test_unusable_rows_are_kept_in_quarantine(spark, tmp_path):
     assert [r.reason for r in store.read("quarantine").where("id = 'e'").collect()] == ["size 3 instead of 2"]
 
 
+def test_jobs_leave_no_cut_tables_but_those_of_their_results(spark, store, landed):
+    def folders():
+        files, root = store._file_system(spark.sparkContext.getCheckpointDir())
+        return {s.getPath().getName() for s in files.listStatus(root) if s.getPath().getName().startswith("cut-")}
+
+    before = folders()
+    listing = feeds.read_listings(spark, {"quant-ph": landed["listing"]})
+    metadata = feeds.read_metadata(spark, landed["metadata"])
+    result = jobs.score_feed(store, listing, metadata, PICKY, SETTINGS, run_date="d")
+    assert result.items.count() and result.lines.count() and result.stats.count() == 1
+    assert 0 < len(folders() - before) <= 3
+    jobs.sync_landed(store, landed["items"], landed["collections"], PICKY)
+    assert len(folders() - before) <= 4
+
+
 def test_exclusion(spark, store, landed):
     listing = feeds.read_listings(spark, {"quant-ph": landed["listing"]})
     metadata = feeds.read_metadata(spark, landed["metadata"])

@@ -224,6 +224,26 @@ def test_scores_equal_brute_force(spark, strategy):
         assert row.score == pytest.approx(want[int(row.query_id)], abs=1e-8)
 
 
+def test_routing_many_pivots_needs_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from vicinia.operators import knn as plans
+
+    pivots = 100_000
+    batch = pa.record_batch({"x": pa.array(range(10_000))})
+    rows = [b.num_rows for b in plans._slices(iter([batch]), pivots)]
+    assert sum(rows) == 10_000 and max(rows) * pivots <= plans.GAPS_AT_ONCE
+    rng = np.random.default_rng(1)
+    stats = plans._CellStats(unit(rng.normal(size=(pivots, 4))), np.ones(pivots, int), np.zeros(pivots), np.zeros(pivots), 0)
+    tracemalloc.start()
+    stats.later_visits(unit(rng.normal(size=(max(rows), 4))), np.full(max(rows), 0.01), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600e6
+
+
 def test_neighbours_are_capped_by_library_size():
     assert lof.effective_neighbors(20, 5) == 4
     assert lof.effective_neighbors(20, 3) == 2

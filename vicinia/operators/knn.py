@@ -29,7 +29,12 @@ from ..session import cut, ship, spread
 from .kernels import nearest, to_matrix
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 4096
+#: Vectors of a block in the cell plan; a task holds one block of either side.
+BLOCK_BYTES = 32 * 1024 * 1024
+#: Library rows from which the plan for few queries bounds what a task sends.
+BOUND_SAMPLE = 4096
+#: Distances to pivots that a task works out at once.
+GAPS_AT_ONCE = 4_000_000
 # A search of fewer rows is cheaper than moving the queries to more tasks.
 SPREAD_ROWS = 1024
 # Slack on Euclidean bounds: distances are rounded to 1e-12, so lengths on the
@@ -69,7 +74,7 @@ def knn(
     exclude_self: bool = False,
     strategy: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k library rows nearest to each query.
 
@@ -122,7 +127,7 @@ def knn(
     elif strategy == "cells":
         found = _through_cells(
             queries, library, k, wanted, dim, library_rows, exclude_self, pairs,
-            broadcast_bytes, block_rows,
+            broadcast_bytes, block_rows or max(1, BLOCK_BYTES // (8 * dim)),
         )
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -203,16 +208,17 @@ def _with_queries_broadcast(
     queries: DataFrame, library: DataFrame, wanted: int, dim: int, pairs: T.StructType
 ) -> DataFrame:
     local = queries.toArrow()
+    asked = to_matrix(local["embedding"], dim)
     shared = queries.sparkSession.sparkContext.broadcast(
-        (to_matrix(local["embedding"], dim), local["query_id"].combine_chunks())
+        (asked, local["query_id"].combine_chunks(), _sampled_bound(asked, library, wanted, dim))
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, query_ids = shared.value
+        matrix, query_ids, bound = shared.value
         best: pa.Table | None = None
         for batch in batches:
             block = _in_tie_order(pa.Table.from_batches([batch]))
-            new = _pair_table(matrix, query_ids, block, dim, wanted)
+            new = _pair_table(matrix, query_ids, block, dim, wanted, bound)
             best = new if best is None else _merge(pa.concat_tables([best, new]), wanted)
         if best is not None:
             yield from best.to_batches(max_chunksize=65536)
@@ -220,6 +226,20 @@ def _with_queries_broadcast(
     return library.mapInArrow(search, pairs)
 
 
+def _sampled_bound(asked: np.ndarray, library: DataFrame, wanted: int, dim: int) -> np.ndarray:
+    """The distance at which each query has ``wanted`` rows in a sample of the library.
+
+    No row farther away can be among its best, so no task needs to send one.
+    """
+    # Any rows will do: the bound is exact for those it was taken from.
+    rows = library.select("embedding").limit(BOUND_SAMPLE).toArrow()
+    bound = np.full(len(asked), np.inf)
+    if rows.num_rows >= wanted:
+        for start, _, distance in nearest(asked, to_matrix(rows["embedding"], dim), wanted):
+            bound[start : start + len(distance)] = distance[:, -1]
+    return bound
+
+
 def _pair_table(
     matrix: np.ndarray,
     query_ids: pa.Array,
@@ -303,7 +323,7 @@ def _through_cells(
     shared_pivots = spark.sparkContext.broadcast(pivots)
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, len(shared_pivots.value)):
             matrix = to_matrix(batch.column("embedding"), dim)
             gap = _lengths(matrix, shared_pivots.value)
             cell = gap.argmin(axis=1)
@@ -360,13 +380,13 @@ def _through_cells(
 
     # No cosine distance exceeds 2.
     unbounded = queries.withColumn("bound", F.lit(2.0))
-    first = _probe(unbounded, first_visit, blocks, splits, wanted, dim, pairs, block_rows)
+    first = _probe(unbounded, first_visit, blocks, splits, wanted, dim, pairs, block_rows, len(pivots))
     first = cut(_best(first, k, exclude_self).drop("rank"))
 
     # The k-th distance seen so far bounds how far away a better row can be.
     bounds = first.groupBy("query_id").agg(F.max("distance").alias("bound"))
     bounded = cut(queries.join(bounds, "query_id"))
-    rest = _probe(bounded, later_visits, blocks, splits, wanted, dim, pairs, block_rows)
+    rest = _probe(bounded, later_visits, blocks, splits, wanted, dim, pairs, block_rows, len(pivots))
     return first.unionByName(rest)
 
 
@@ -406,6 +426,14 @@ def _far_apart(matrix: np.ndarray, count: int) -> np.ndarray:
     return matrix[chosen]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], pivots: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that a matrix of rows and pivots stays small, however many pivots."""
+    step = max(1, GAPS_AT_ONCE // max(1, pivots))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def _lengths(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Euclidean distances between unit rows."""
     return np.sqrt(np.clip(2.0 - 2.0 * (matrix @ pivots.T), 0.0, 4.0))
@@ -462,6 +490,7 @@ def _probe(
     dim: int,
     pairs: T.StructType,
     block_rows: int,
+    pivots: int,
 ) -> DataFrame:
     """Meet every query with every part of the cells that ``visit`` names for it.
 
@@ -475,14 +504,14 @@ def _probe(
         return visit(to_matrix(batch.column("embedding"), dim), bound)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, pivots):
             cells, number = np.unique(visits(batch)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells.astype(np.int32)), pa.array(number.astype(np.int64))], ["cell", "n"]
             )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, pivots):
             rows, cells = visits(batch)
             table = pa.Table.from_batches([batch])
             for start in range(0, len(rows), ROUTES_AT_ONCE):

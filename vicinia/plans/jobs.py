@@ -14,7 +14,7 @@ from ..functions import text, vectors
 from ..operators import digest, embed, hierarchy, lof, relevance
 from ..operators.centroids import collection_centroids, without_excluded
 from ..operators.relevance import Settings
-from ..session import cut, cut_counting
+from ..session import cut, cut_counting, job_tables
 from ..sources import feeds, library, links
 from ..sources.tables import TableStore, latest_rows
 
@@ -45,34 +45,35 @@ def sync_library(
     ``quarantine`` under the name of the ``run``; the counts add up to
     ``needing_embedding``.
     """
-    stored_ids = store.read("papers").select("id", F.lit(True).alias("stored"))
-    papers, arrived = cut_counting(
-        latest_rows(items, ["id"], ["ord"]).join(stored_ids, "id", "left"),
-        retrieved=F.count(F.lit(1)),
-        new=F.count_if(F.col("stored").isNull()),
-    )
-    store.upsert_papers(papers, unique=True)
-    store.replace_collections(collections)
-    lists = papers.select(
-        F.col("id").alias("paper_id"), F.col("collections").alias("collection_keys")
-    )
-    store.replace_memberships(lists, unique=True)
+    with job_tables(store.spark) as keep:
+        stored_ids = store.read("papers").select("id", F.lit(True).alias("stored"))
+        papers, arrived = cut_counting(
+            latest_rows(items, ["id"], ["ord"]).join(stored_ids, "id", "left"),
+            retrieved=F.count(F.lit(1)),
+            new=F.count_if(F.col("stored").isNull()),
+        )
+        store.upsert_papers(papers, unique=True)
+        store.replace_collections(collections)
+        lists = papers.select(
+            F.col("id").alias("paper_id"), F.col("collections").alias("collection_keys")
+        )
+        store.replace_memberships(lists, unique=True)
 
-    waiting, needed = cut_counting(
-        embed.unembedded(store.read("papers"), store.read("embeddings"), source, using.model_id),
-        needing_embedding=F.count(F.lit(1)),
-    )
-    stats = {**arrived, **needed, "embedded": 0, "errors": 0, "blank": 0}
-    if dry_run or not needed["needing_embedding"]:
-        preview = digest.preview(waiting) if dry_run else None
-        return SyncResult(_stats_row(store.spark, stats), preview=preview)
+        waiting, needed = cut_counting(
+            embed.unembedded(store.read("papers"), store.read("embeddings"), source, using.model_id),
+            needing_embedding=F.count(F.lit(1)),
+        )
+        stats = {**arrived, **needed, "embedded": 0, "errors": 0, "blank": 0}
+        if dry_run or not needed["needing_embedding"]:
+            preview = digest.preview(waiting) if dry_run else None
+            return keep(SyncResult(_stats_row(store.spark, stats), preview=preview))
 
-    keyed = waiting.withColumnRenamed("id", "paper_id")
-    bad, outcome = store_vectors(store, embed.embed(embed.with_text(keyed), using).drop("text"), using, run)
-    refresh_centroids(store, using.model_id, source)
-    stats.update(outcome)
-    stats["blank"] = stats["needing_embedding"] - stats["embedded"] - stats["errors"]
-    return SyncResult(_stats_row(store.spark, stats), quarantine=bad)
+        keyed = waiting.withColumnRenamed("id", "paper_id")
+        bad, outcome = store_vectors(store, embed.embed(embed.with_text(keyed), using).drop("text"), using, run)
+        refresh_centroids(store, using.model_id, source)
+        stats.update(outcome)
+        stats["blank"] = stats["needing_embedding"] - stats["embedded"] - stats["errors"]
+        return keep(SyncResult(_stats_row(store.spark, stats), quarantine=bad))
 
 
 def store_vectors(
@@ -264,12 +265,13 @@ def score_feed(
     """Score the papers of category listings and deliver their digest."""
     if threshold is not None:
         settings = replace(settings, threshold=threshold)
-    feed, seen = cut_counting(feeds.listed_papers(listings, metadata), n=F.count(F.lit(1)))
-    if not seen["n"]:
-        return NO_DIGEST
-    snapshot = prepare_library(store, using, settings, **knn_options)
-    result = score_papers(feed, snapshot, using, settings, **knn_options)
-    return deliver(result, run_date, out, dry_run, short)
+    with job_tables(store.spark) as keep:
+        feed, seen = cut_counting(feeds.listed_papers(listings, metadata), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return NO_DIGEST
+        snapshot = prepare_library(store, using, settings, **knn_options)
+        result = score_papers(feed, snapshot, using, settings, **knn_options)
+        return keep(deliver(result, run_date, out, dry_run, short))
 
 
 def score_links(
@@ -290,18 +292,19 @@ def score_links(
 
     ``extra`` holds the report of skipped lines and the IDs without metadata.
     """
-    wanted, skipped = links.read_links(spark, links_path, domain)
-    wanted = cut(wanted)
-    feed, seen = cut_counting(feeds.enrich(wanted, metadata), n=F.count(F.lit(1)))
-    extra = {
-        "skipped": digest.skip_report(skipped),
-        "missing": feeds.missing_metadata(wanted, metadata),
-    }
-    if not seen["n"]:
-        return DigestResult(None, None, None, extra=extra)
-    snapshot = prepare_library(store, using, settings, **knn_options)
-    result = score_papers(feed, snapshot, using, settings, **knn_options)
-    return deliver(replace(result, extra=extra), run_date, out, dry_run)
+    with job_tables(spark) as keep:
+        wanted, skipped = links.read_links(spark, links_path, domain)
+        wanted = cut(wanted)
+        feed, seen = cut_counting(feeds.enrich(wanted, metadata), n=F.count(F.lit(1)))
+        extra = {
+            "skipped": digest.skip_report(skipped),
+            "missing": feeds.missing_metadata(wanted, metadata),
+        }
+        if not seen["n"]:
+            return keep(DigestResult(None, None, None, extra=extra))
+        snapshot = prepare_library(store, using, settings, **knn_options)
+        result = score_papers(feed, snapshot, using, settings, **knn_options)
+        return keep(deliver(replace(result, extra=extra), run_date, out, dry_run))
 
 
 # ---- command of the library path ---------------------------------------------

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import fields, is_dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app_name: str = "vicinia", **conf: str) -> SparkSession:
@@ -80,23 +83,59 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < split * cores else df
 
 
+#: Tables written by :func:`cut` in this process that are not deleted yet.
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and drop its lineage.
 
     A written table outlives any executor, and later readers load only the
     columns they use.
     """
-    return cut_counting(df)[0]
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    _CUTS.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """:func:`cut`, with aggregates of the rows taken while they are written."""
-    path = scratch_path(df.sparkSession, "cut")
-    found: dict[str, int] = {}
-    if counts:
-        seen = Observation()
-        df.observe(seen, *[value.alias(name) for name, value in counts.items()]).write.parquet(path)
-        found = seen.get
-    else:
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), found
+    """:func:`cut`, with aggregates of the written rows: what ran twice is not counted twice."""
+    table = cut(df)
+    found = table.agg(*[value.alias(name) for name, value in counts.items()]).first()
+    return table, found.asDict()
+
+
+def _frames(value: object) -> Iterator[DataFrame]:
+    if isinstance(value, DataFrame):
+        yield value
+    elif is_dataclass(value):
+        for field in fields(value):
+            yield from _frames(getattr(value, field.name))
+    elif isinstance(value, dict | list | tuple):
+        for part in value.values() if isinstance(value, dict) else value:
+            yield from _frames(part)
+
+
+@contextmanager
+def job_tables(spark: SparkSession):
+    """Delete the tables that are cut inside, but for those the kept results read.
+
+    ``with job_tables(spark) as keep: ...; return keep(result)``
+    """
+    before = set(_CUTS)
+    kept: list[object] = []
+
+    def keep(result):
+        kept.append(result)
+        return result
+
+    try:
+        yield keep
+    finally:
+        used = {file.rpartition("/")[0].rpartition("/")[2] for f in _frames(kept) for file in f.inputFiles()}
+        for path in [p for p in _CUTS if p not in before]:
+            if path.rpartition("/")[2] not in used:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+                _CUTS.remove(path)

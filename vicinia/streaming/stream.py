@@ -11,6 +11,7 @@ from ..operators import embed
 from ..operators.relevance import Settings
 from ..plans.jobs import Snapshot, refresh_centroids, score_papers, store_vectors
 from ..schemas import FEED
+from ..session import job_tables
 from ..sources.tables import TableStore, latest_rows
 
 STREAMED_FEED = T.StructType(FEED.fields + [T.StructField("ord", T.LongType())])
@@ -44,16 +45,17 @@ def score_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        result = score_papers(batch, snapshot, using, settings, **knn_options)
-        if result.empty:
-            return
-        (
-            result.items.withColumn("batch", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(out)
-        )
+        with job_tables(batch.sparkSession):
+            result = score_papers(batch, snapshot, using, settings, **knn_options)
+            if result.empty:
+                return
+            (
+                result.items.withColumn("batch", F.lit(batch_id))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("batch")
+                .parquet(out)
+            )
 
     return (
         feed.writeStream.foreachBatch(write)
@@ -80,14 +82,15 @@ def embed_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.upsert_papers(batch)
-        arrived = latest_rows(batch, ["id"], ["ord"])
-        waiting = embed.unembedded(arrived, store.read("embeddings"), source, using.model_id)
-        keyed = waiting.withColumnRenamed("id", "paper_id")
-        embedded = embed.embed(embed.with_text(keyed), using).drop("text")
-        store_vectors(store, embedded, using, f"stream-{batch_id}")
-        if centroids:
-            refresh_centroids(store, using.model_id, source)
+        with job_tables(batch.sparkSession):
+            store.upsert_papers(batch)
+            arrived = latest_rows(batch, ["id"], ["ord"])
+            waiting = embed.unembedded(arrived, store.read("embeddings"), source, using.model_id)
+            keyed = waiting.withColumnRenamed("id", "paper_id")
+            embedded = embed.embed(embed.with_text(keyed), using).drop("text")
+            store_vectors(store, embedded, using, f"stream-{batch_id}")
+            if centroids:
+                refresh_centroids(store, using.model_id, source)
 
     return (
         papers.writeStream.foreachBatch(write)
