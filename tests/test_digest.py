@@ -181,7 +181,7 @@ def test_batches_have_the_wanted_size():
 
 def test_token_hash_vectors_have_length_one():
     model = embed.TokenHashEmbedder("16")
-    one, other, none = model.embed_batch(["Some words here", "some  WORDS\nhere ", " "])
+    one, other, none = model.embed_batch(["Some words here", "some  WORDS\nhere ", " "]).tolist()
     assert one == other and sum(x * x for x in one) == pytest.approx(1.0) and none == [0.0] * 16
 
 
