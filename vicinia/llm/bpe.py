@@ -12,8 +12,9 @@ lowest pair again and again only where a merge makes a pair of the same or a
 lower rank. Such pieces are noted, and encoded one by one.
 
 Vocabularies are rank files (base64 token and rank per line). They are read on
-the driver and broadcast; their size is fixed. A worker keeps at most
-``KEPT_PIECES`` pieces (or ``KEPT_CHARACTERS``) and then starts anew, which costs time but changes nothing.
+the driver and broadcast; their size is fixed. A worker keeps about
+``KEPT_PIECES`` pieces (or ``KEPT_CHARACTERS``); beyond, it forgets all but the most
+used half, which costs time but changes nothing.
 
 Defined results: a null or empty text has no ids and decodes to nothing; texts of
 any length are encoded whole; equal rows get equal results; an empty table gives
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .arrays import SLICE_BYTES, ranges, text_slices
+from .arrays import ranges, text_slices
 
-KEPT_PIECES = 600_000
-KEPT_CHARACTERS = 8_000_000
+KEPT_PIECES = 200_000
+KEPT_CHARACTERS = 4_000_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -110,11 +111,34 @@ class Encoder:
         self.ids = np.zeros(0, np.int32)
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keep the pieces used most, up to half of what may be kept."""
+        order = np.argsort(-self.uses, kind="stable")[: KEPT_PIECES // 2]
+        order = order[self.uses[order] > 1]
+        old, pieces = self.index, list(self.index)
+        counts = self.count[order]
+        ids = self.ids[ranges(self.begin[order], counts)]
+        uses = self.uses[order]
+        self._forget()
+        characters = 0
+        for number, k in enumerate(order.tolist()):
+            characters += len(pieces[k])
+            if characters > KEPT_CHARACTERS // 2:
+                break
+            self.index[pieces[k]] = number
+        old.clear()
+        self.index.characters = min(characters, KEPT_CHARACTERS // 2)
+        n = len(self.index)
+        self.count, self.uses = counts[:n], uses[:n]
+        self.begin = np.cumsum(self.count) - self.count
+        self.ids = ids[: int(self.count.sum())].copy()
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their offsets."""
         if len(self.index) > KEPT_PIECES or self.index.characters > KEPT_CHARACTERS:
-            self._forget()
+            self._thin()
         known = len(self.begin)
         places, sizes = [], []
         number = self.index.__getitem__
@@ -125,6 +149,7 @@ class Encoder:
         if len(self.index) > known:
             self._learn(list(islice(self.index, known, None)))
         piece = np.concatenate(places) if places else np.zeros(0, np.int64)
+        self.uses = np.bincount(piece, minlength=len(self.begin)) + np.pad(self.uses, (0, len(self.begin) - len(self.uses)))
         counts = self.count[piece]
         out = self.ids[ranges(self.begin[piece], counts)]
         ends = np.concatenate([[0], np.cumsum(counts)])
@@ -304,7 +329,7 @@ def _prepare(df: DataFrame, words: Vocabulary):
 
 
 def _coded(column: pa.Array, encoder: Encoder, decoded: bool) -> Iterator[tuple[int, int, list[pa.Array]]]:
-    for first, last, _, _ in text_slices(column, 2 * SLICE_BYTES):
+    for first, last, _, _ in text_slices(column):
         ids, offsets = encoder.encode(_strings(column, first, last))
         arrays = [
             pa.array(np.diff(offsets), pa.int64()),
@@ -330,15 +355,19 @@ def encode(
     if round_trip:
         fields.append(T.StructField("decoded", T.BinaryType()))
 
+    # The text travels once, whether it is kept or not.
+    extra = text not in keep
+    at = len(keep) if extra else list(keep).index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, name)
         for batch in batches:
-            others = batch.columns[1:]
-            for first, last, arrays in _coded(batch.column(0), encoder, round_trip):
+            others = batch.columns[: len(keep)]
+            for first, last, arrays in _coded(batch.column(at), encoder, round_trip):
                 kept = [c.slice(first, last - first) for c in others]
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[f.name for f in fields])
 
-    rows = df.select(F.col(text).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(text).alias("t")][: int(extra)])
     coded = rows.mapInArrow(run, T.StructType(fields))
     return coded.toDF(*keep, *[f.name for f in fields[len(keep) :]])
 
