@@ -138,17 +138,31 @@ def start() -> Estimates:
     return Estimates((GOOD_SHARE, *[(1 - GOOD_SHARE) / n] * n), ((START_GOOD,) * n, *faults))
 
 
-def posteriors(estimates: Estimates) -> Column:
-    """The probability of each class, given the votes: an array, good first."""
+def log_scores(estimates: Estimates) -> list[Column]:
+    """The logarithm of each class's share and of the votes' probability in it, good first."""
     scores = []
     for share, rates in zip(estimates.shares, estimates.rates, strict=True):
         score = F.lit(math.log(share))
         for rule, own in zip(RULES, rates, strict=True):
-            table = F.array(*[F.lit(math.log(r)) for r in own])
-            score = score + F.element_at(table, F.col(f"vote_{rule.name}").cast("int") + 2)
+            against, none, support = (F.lit(math.log(rate)) for rate in own)
+            vote = F.col(f"vote_{rule.name}")
+            score = score + F.when(vote < 0, against).when(vote > 0, support).otherwise(none)
         scores.append(score)
-    raised = F.transform(F.array(*scores), lambda x: F.exp(x - F.array_max(F.array(*scores))))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda total, y: total + y))
+    return scores
+
+
+def posterior(scores: list[str], number: int) -> Column:
+    """The probability of one class, from columns of the logarithms of all."""
+    rest = F.lit(0.0)
+    for name in scores:
+        rest = rest + F.exp(F.col(name) - F.col(scores[number]))
+    return F.lit(1.0) / rest
+
+
+def with_posteriors(rows: DataFrame, estimates: Estimates) -> tuple[DataFrame, list[str]]:
+    """``rows`` with a column of the logarithm for each class, and the names of these."""
+    names = [f"_log_{k}" for k in range(len(estimates.shares))]
+    return rows.withColumns(dict(zip(names, log_scores(estimates), strict=True))), names
 
 
 def estimate(patterns: DataFrame) -> Estimates:
@@ -159,7 +173,9 @@ def estimate(patterns: DataFrame) -> Estimates:
     found = start()
     votes = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"vote_{r.name}").alias("vote")) for k, r in enumerate(RULES)])
     for _ in range(ROUNDS):
-        rows = patterns.select("n", votes.alias("votes"), F.posexplode(posteriors(found)).alias("class", "p"))
+        rows, names = with_posteriors(patterns, found)
+        chances = F.array(*[posterior(names, k) for k in range(len(names))])
+        rows = rows.select("n", votes.alias("votes"), F.posexplode(chances).alias("class", "p"))
         rows = rows.select("class", (F.col("n") * F.col("p")).alias("mass"), F.explode("votes").alias("v"))
         # One row for each class, rule and vote.
         sums = rows.groupBy("class", "v.rule", "v.vote").agg(F.sum("mass").alias("mass")).collect()
@@ -194,5 +210,6 @@ def judge(documents: DataFrame, row_id: str = "doc_id", text: str = "text", keep
     rows = cut(rows.select("*", *votes))
     names = [f"vote_{rule.name}" for rule in RULES]
     patterns = cut(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    rows = rows.withColumn("quality", posteriors(estimate(patterns))[0]).withColumn("base_failed", base_failed())
+    rows, scores = with_posteriors(rows, estimate(patterns))
+    rows = rows.withColumn("quality", posterior(scores, 0)).withColumn("base_failed", base_failed()).drop(*scores)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
