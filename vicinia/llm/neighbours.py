@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, ship, spread
 
 CENTROIDS = 64
 SAMPLE = 12_000
@@ -310,7 +310,8 @@ def search(
         (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"),
         F.lit(True).alias("mine"), "id", "vector", "cell", F.lit(None).cast("binary").alias("cells"),
     )
-    queries = rows.where(asks).dropDuplicates(["id"]).mapInArrow(_ask(quantiser, counts, first, parts), _ROW)
+    # Traversal is heavy for the few bytes of a query.
+    queries = spread(rows.where(asks).dropDuplicates(["id"])).mapInArrow(_ask(quantiser, counts, first, parts), _ROW)
     both = entries.unionByName(queries).repartitionById(blocks, F.col("block"))
     both = both.sortWithinPartitions("block", F.col("mine").desc(), "id")
     found = both.mapInArrow(_rerank(k), "query_id bigint, vec_id bigint, score double")
