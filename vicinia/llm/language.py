@@ -5,7 +5,7 @@ count as one space, A-Z as a-z) is hashed into a table of embeddings; a text is
 the mean of its runs' embeddings, and a linear softmax tells the language. Both
 tables are learned together by stochastic gradient descent in NumPy on the driver
 from a sample of labelled rows: ``sample_per_language`` rows expected per
-language, each with at most ``sample_runs`` runs, taken evenly over the whole
+language (``SAMPLE_ROWS`` in all at most, about), each with at most ``sample_runs`` runs, taken evenly over the whole
 text. A fifth of the sample is left out of the descent; it sets the temperature
 that makes the highest probability an honest one, and the score below which a
 prediction is rejected: the highest below which at least half of them are wrong.
@@ -40,6 +40,8 @@ ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
 DIMENSION = 16
 SAMPLE_PER_LANGUAGE = 800
+#: With many languages, fewer rows of each: so many in all, about.
+SAMPLE_ROWS = 12_000
 #: A corpus with more labels than this is trained on the commonest.
 MOST_LANGUAGES = 400
 SAMPLE_RUNS = 600
@@ -144,6 +146,7 @@ def sample(df: DataFrame, text: str, label: str, row_id: str, per_language: int,
     if not sizes:
         return [], np.zeros(0, np.int64), ()
     languages = tuple(sorted(r[0] for r in sizes))
+    per_language = min(per_language, SAMPLE_ROWS // len(languages))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(row_id).cast("string"), F.lit(""))), F.lit(1 << 30))
     chosen = F.lit(False)
     for row in sizes:
@@ -164,7 +167,7 @@ def sample(df: DataFrame, text: str, label: str, row_id: str, per_language: int,
 
     ship(df.sparkSession)
     rows = known.where(chosen).select(F.col(text), F.col(label), draw.alias("draw"))
-    # At most languages * per_language rows (about) of most_runs numbers.
+    # At most SAMPLE_ROWS rows (about) of most_runs numbers.
     got = rows.mapInArrow(features, "runs binary, label string, draw bigint").collect()
     place = {name: k for k, name in enumerate(languages)}
     got = sorted((r for r in got if len(r["runs"])), key=lambda r: (r["draw"], r["label"], bytes(r["runs"])))
