@@ -30,12 +30,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest ID of each class of near copies, and one row of each ID."""
+    """Keep the document with the smallest ID of each class of near copies, and one row of each ID.
+
+    Rows without an ID stay, one of each text.
+    """
     classes = near.near_duplicates(docs, threshold=THRESHOLD)
     kept = classes.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "text"))
-    return rows.withColumn("_row", first).where("_row = 1").select(*docs.columns)
+    # Joined and told apart in one shuffle of the texts.
+    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    order = [F.desc(F.length("text")), F.col("text")]
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    rows = rows.withColumn("_row", first).where("_row = 1").select(*docs.columns)
+    # Rows without an ID are one node, the smallest, and so the one of its class that stays: with all its texts.
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
