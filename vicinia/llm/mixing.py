@@ -31,7 +31,7 @@ from ..session import cut
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Rows of one source in one key range, about.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 #: Hex digits of the digest that make the key: 60 bits.
 KEY_DIGITS = 15
 
