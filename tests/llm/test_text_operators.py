@@ -160,6 +160,21 @@ def test_repeats_nulls_and_repeats(spark):
     assert digest[None] == hashlib.sha256(run.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("row_id", [None, 7])
+def test_repeats_of_one_id_and_very_unequal_lengths(spark, row_id):
+    dice = random.Random(6)
+    run, other = prose(dice, 30, 10_000), prose(dice, 25, 10_000)
+    # A slice of its own, with the shared passage far beyond the other text's end.
+    long = " ".join([*(f"u{k}" for k in range(450_000)), run])
+    df = docs_of(spark, [run, long, other], ids=[row_id] * 3)
+    got = {r["n_words"]: (r["doc_id"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(df).collect()}
+    assert got[25] == (row_id, 0, other)
+    # Documents of equal ID are ordered by a hash: either has the first occurrence.
+    first = [(row_id, 0, run), (row_id, 30, long[: -len(run) - 1])]
+    second = [(row_id, 30, ""), (row_id, 0, long)]
+    assert [got[30], got[450_030]] in (first, second)
+
+
 # ---- byte-level BPE ----------------------------------------------------------
 
 

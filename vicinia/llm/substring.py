@@ -20,8 +20,8 @@ row of each name, so that a passage in a third of all documents costs a row per
 task. Rows travel as packed arrays; no task needs more than its share of names.
 
 Defined results: a null or empty text has no words; documents are ordered by ID,
-null first, and those of equal ID by a hash of the text; rows equal in both are
-one document, and each gets its result; texts of any length are read whole; an
+null first, and those of equal ID by a 64-bit hash of the text; rows equal in both
+are one document, and each gets its result; texts of any length are read whole; an
 empty table gives an empty result. IDs are integers. Only the named columns are
 read.
 """
@@ -54,7 +54,7 @@ _U = np.uint64
 _PACKED = "part int, ids binary, ties binary, counts binary, first binary, second binary, places binary"
 #: Packed marks: the part that gets them, documents with their counts, and the places.
 _PLACES = "part int, ids binary, ties binary, counts binary, places binary"
-_MARKS = "id bigint, tie int, marks binary"
+_MARKS = "id bigint, tie bigint, marks binary"
 
 
 def recompress(words: np.ndarray, owner: np.ndarray, rounds: str = ROUNDS):
@@ -207,7 +207,7 @@ def _packed(part, rows, first, second, places, ids, ties, chosen, parts) -> Iter
         spread = int(_U(ids[row[0]].astype(np.uint64) + _U(number)) % _U(parts))
         out["part"].append(-1 - spread if mark else int(part[a]))
         out["ids"].append(_bytes(ids[row[heads]], "<i8"))
-        out["ties"].append(_bytes(ties[row[heads]], "<i4"))
+        out["ties"].append(_bytes(ties[row[heads]], "<i8"))
         out["counts"].append(_bytes(np.diff([*heads, len(row)]), "<i4"))
         out["first"].append(b"" if mark else _bytes(first[own], "<u8"))
         out["second"].append(b"" if mark else _bytes(second[own], "<u4"))
@@ -234,7 +234,7 @@ def _judge(verify: bool, parts: int):
         for batch in batches:
             for row in batch.to_pylist():
                 counts = _from(row["counts"], "<i4")
-                ids, ties = (np.repeat(_from(row[c], k), counts) for c, k in (("ids", "<i8"), ("ties", "<i4")))
+                ids, ties = (np.repeat(_from(row[c], "<i8"), counts) for c in ("ids", "ties"))
                 places = _from(row["places"], "<i4")
                 if row["part"] < 0:
                     marks.append((ids, ties, places))
@@ -251,7 +251,8 @@ def _judge(verify: bool, parts: int):
         if not marks:
             return
         ids, ties, places = (np.concatenate(x) for x in zip(*marks, strict=True))
-        to = (mix(ids.astype(np.uint64)) % _U(parts)).astype(np.int32)
+        # By the tie too: rows without an ID are many documents.
+        to = (mix(ids.astype(np.uint64) + mix(ties)) % _U(parts)).astype(np.int32)
         order = np.lexsort((places, ties, ids, to))
         to, ids, ties, places = to[order], ids[order], ties[order], places[order]
         documents = _heads(to, ids, ties)
@@ -260,7 +261,7 @@ def _judge(verify: bool, parts: int):
             own = documents[np.searchsorted(documents, a) : np.searchsorted(documents, b)]
             rows["part"].append(int(to[a]))
             rows["ids"].append(_bytes(ids[own], "<i8"))
-            rows["ties"].append(_bytes(ties[own], "<i4"))
+            rows["ties"].append(_bytes(ties[own], "<i8"))
             rows["counts"].append(_bytes(np.diff(np.append(own, b)), "<i4"))
             rows["places"].append(_bytes(places[a:b], "<i4"))
         kinds = [pa.int32()] + [pa.binary()] * 4
@@ -276,7 +277,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             counts = _from(row["counts"], "<i4")
             marks.append(
-                (np.repeat(_from(row["ids"], "<i8"), counts), np.repeat(_from(row["ties"], "<i4"), counts),
+                (np.repeat(_from(row["ids"], "<i8"), counts), np.repeat(_from(row["ties"], "<i8"), counts),
                  _from(row["places"], "<i4"))
             )
     if not marks:
@@ -316,9 +317,7 @@ def _symbols(parts: int, window: int, rounds: str):
         packer = _Packer(parts, verify=False)
         for batch in batches:
             for first, last, data, _, starts, ends, words in _slices(batch):
-                # A mark too many only leaves a window to be verified, so the ID alone will do here.
-                (ids,) = _columns(batch, first, last, 1)
-                ties = np.zeros(len(ids), np.int32)
+                ids, ties = _columns(batch, first, last, 1, 2)
                 owner = np.repeat(np.arange(last - first), np.diff(words))
                 name, own, begin, _, left, right = recompress(hash_words(data, starts, ends), owner, rounds)
                 use = right - left <= window
@@ -383,7 +382,7 @@ def _candidates(window: int, rounds: str, digest: bool):
                         rows["kept"].append(None if len(windows) else _out(_joined(content), digest))
                         rows["packed"].append(squeeze.compress(content) if len(windows) else None)
                         rows["windows"].append(_ranges(windows) if len(windows) else None)
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=names
                     )
@@ -476,15 +475,15 @@ def remove_repeats(
     rows = documents.select(
         F.col(text).alias("text"),
         F.coalesce(F.col(row_id).cast("bigint"), F.lit(NO_ID)).alias("id"),
-        F.hash(F.col(text)).alias("tie"),
+        F.xxhash64(F.col(text)).alias("tie"),
     )
     shared = _gathered_marks(rows.mapInArrow(_symbols(parts, window, rounds), _PACKED), parts, verify=False)
-    packed = rows.mapInArrow(_compressed, "packed binary, id bigint, tie int")
-    judged = packed.join(shared.drop("tie"), "id", "left").select("packed", "id", "tie", "marks")
+    packed = rows.mapInArrow(_compressed, "packed binary, id bigint, tie bigint")
+    judged = packed.join(shared, ["id", "tie"], "left").select("packed", "id", "tie", "marks")
     judged = cut(
         judged.mapInArrow(
             _candidates(window, rounds, digest),
-            "id bigint, tie int, n_words bigint, kept string, packed binary, windows binary",
+            "id bigint, tie bigint, n_words bigint, kept string, packed binary, windows binary",
         )
     )
     left = judged.where(F.col("windows").isNotNull())
