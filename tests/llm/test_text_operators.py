@@ -301,6 +301,26 @@ def test_trees_find_written_out_forms(spark):
     assert not pii.find("paid 1,234,567 on 2024-01-02, version 1.2.3.4567", model)[1]
 
 
+def test_numbers_beside_others_are_proposed():
+    def phones(text):
+        return {text[a:b] for kind, a, b in pii.proposals(text) if kind == pii.PHONE}
+
+    assert {"555-123-4567", "555-987-6543"} <= phones("555-123-4567, 555-987-6543")
+    assert "555-123-4567" in phones("2024-01-15 555-123-4567")
+    assert "5551234567" in phones("5551234567, 12 Main")
+    assert "(555) 123-4567" in phones("no 7 (555) 123-4567, 12th floor")
+    assert "555-123-4567" in phones("ann,555-123-4567,x") and not phones("a5551234567 5551234567b")
+    # At most 19 parts end with a group.
+    assert len(list(pii.proposals("1 " * 10_000))) < 3 * 19 * 10_000
+
+
+def test_numbers_beside_others_are_found(spark):
+    model = pii.train(spark.read.parquet(GIVEN.replace("0.001", "0.01")))
+    for text in ("555-123-4567, 555-987-6543", "2024-01-15 555-123-4567", "log 12, (555) 123-4567, 34 x"):
+        got = {text[a:b] for kind, a, b in pii.find(text, model)[1] if kind == pii.PHONE}
+        assert got == set(re.findall(r"\(?555\)?[ -]\d{3}-\d{4}", text)), text
+
+
 # ---- mixing ------------------------------------------------------------------
 
 

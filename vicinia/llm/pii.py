@@ -2,18 +2,21 @@
 
 Four kinds are looked for: e-mail and IP addresses, card and phone numbers. Spans
 that follow the base rules exactly are always reported. Generators propose more,
-which may overlap: addresses with a written-out at sign, and every run of digits
-with separators as each kind its digits allow. For each kind, gradient-boosted
-trees of depth two judge a proposal by its format and its neighbourhood; it is
-added if its score reaches a threshold calibrated to ``PRECISION`` on proposals
-left out of the training, and if it touches no base span and no better addition.
+which may overlap: addresses with a written-out at sign, and of every run of
+digits with separators each part between two borders of its groups of digits, as
+each kind its digits allow; so numbers that stand side by side are all seen. For
+each kind, gradient-boosted trees of depth two judge a proposal by its format and
+its neighbourhood; it is added if its score reaches a threshold calibrated to
+``PRECISION`` on proposals left out of the training, and if it touches no base
+span and no better addition.
 
 The trees are trained here. About ``sample_documents`` documents, chosen by a hash
 of the ID, are read in the tasks; each base span in them yields a row of features
 for itself and for rewritten forms of it (without plus sign, other separators,
 obscured at sign), and look-alikes in the same place (wrong check digits, large
-address parts, version numbers, dates, amounts) are the other class, together
-with proposals of the text that are none by the base rules. Only these rows of
+address parts, version numbers, dates, amounts, parts of a number, numbers run
+together) are the other class, together with at most ``NATURAL`` proposals of each
+text that are none by the base rules. Only these rows of
 numbers, at most ``SAMPLE_ROWS``, reach the driver.
 
 Defined results: a null or empty text has no spans; offsets count code points and
@@ -28,8 +31,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +54,10 @@ ROUNDS, RATE, BINS = 40, 0.3, 16
 AROUND = 24
 #: A local part or domain longer than this is no proposal (the base rule has no such limit).
 LONGEST_NAME = 64
+#: No kind has more digits.
+MOST_DIGITS = 19
+#: Proposals judged at once, parts of a form and other proposals of a text that are training rows.
+JUDGED, PARTS, NATURAL = 4096, 6, 20
 
 Span = tuple[int, int, int]
 
@@ -62,7 +71,9 @@ _ANY = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.IGNORECASE)
 _AT = re.compile(r"@|[\[(] ?at ?[\])]", re.IGNORECASE)
 _RIGHT = re.compile(r" ?[\w-]{1,64}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[\w-]{1,64})+", re.IGNORECASE)
 _LEFT = re.compile(r"[\w.%+-]{1,64} ?\Z")
-_DIGITS = re.compile(r"(?<![\w.,])[+(]{0,2}[0-9](?:[ ().,/-]{0,2}[0-9])++(?![\w])")
+_GROUP = re.compile(r"[0-9]+")
+#: One or two of these join groups of digits.
+_BETWEEN = " ().,/-"
 _HINTS = (
     re.compile(r"mail|contact|@|write", re.IGNORECASE),
     re.compile(r"\bip\b|host|server|addr", re.IGNORECASE),
@@ -105,23 +116,46 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
-def proposals(text: str) -> list[Span]:
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """``(start, end, digits)`` of all parts of runs of digits that begin and end with a whole group.
+
+    No more than ``MOST_DIGITS`` parts end with a group, so they are in proportion to the text.
+    """
+    last, parts = 0, []
+    for match in _GROUP.finditer(text):
+        begin, end = match.span()
+        if begin - last > 2 or text[last:begin].strip(_BETWEEN):
+            parts = []
+        if not begin or not _is_word(text[begin - 1]):
+            first = begin
+            while first and begin - first < 2 and text[first - 1] in "+(":
+                first -= 1
+            parts.append((first, 0))
+        parts = [(a, n + end - begin) for a, n in parts if n + end - begin <= MOST_DIGITS]
+        if end == len(text) or not _is_word(text[end]):
+            for a, n in parts:
+                yield a, end, n
+        last = end
+
+
+def proposals(text: str) -> Iterator[Span]:
     """Spans that may be personal data; they may overlap."""
-    out: list[Span] = []
     for match in _AT.finditer(text):
         left = _LEFT.search(text, max(0, match.start() - LONGEST_NAME - 1), match.start())
         right = _RIGHT.match(text, match.end() + (text[match.end() : match.end() + 1] == " " and match[0] != "@"))
         if left and right:
-            out.append((EMAIL, left.start(), right.end()))
-    for match in _DIGITS.finditer(text):
-        n = sum("0" <= c <= "9" for c in match[0])
-        if 12 <= n <= 19:
-            out.append((CARD, *match.span()))
+            yield EMAIL, left.start(), right.end()
+    for a, b, n in numbers(text):
+        if 12 <= n <= MOST_DIGITS:
+            yield CARD, a, b
         if 7 <= n <= 15:
-            out.append((PHONE, *match.span()))
-        if 4 <= n <= 15 and match[0].count(".") + match[0].count(",") == 3:
-            out.append((IP, *match.span()))
-    return out
+            yield PHONE, a, b
+        if 4 <= n <= 15 and text.count(".", a, b) + text.count(",", a, b) == 3:
+            yield IP, a, b
 
 
 def features(kind: int, span: str, before: str, after: str) -> list[float]:
@@ -182,11 +216,28 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - AROUND) : start], text[end : end + AROUND]
 
 
+def _beside(kind: int, form: str, before: str, after: str, dice: random.Random) -> list[tuple[int, int, list[float]]]:
+    """Training rows of a number beside others: itself, and parts of it or with a neighbour, which are none."""
+    pick = lambda n: "".join(dice.choice("0123456789") for _ in range(n))
+    date = f"20{pick(2)}-{pick(2)}-{pick(2)}"
+    before += dice.choice(("", f"{pick(2)} ", f"{pick(1)}, ", f"{date} ", f"{pick(3)},", f"{form}, ", f"{form} "))
+    after = dice.choice(("", f", {pick(2)} ", f" {pick(4)} ", f" {date}", f",{pick(3)}", f", {form}", f" {form}")) + after
+    text, a, b = before + form + after, len(before), len(before) + len(form)
+    found = []
+    for other, x, y in proposals(text):
+        # Nine digits within a number with a prefix may be a number themselves.
+        whole = other == kind == PHONE and a <= x and y <= b and sum(map(str.isdecimal, text[x:y])) >= 9
+        if other != EMAIL and x < b and a < y and not whole and (other, x, y) != (kind, a, b):
+            found.append((other, x, y))
+    rows = [(other, 0, features(other, text[x:y], *_around(text, x, y))) for other, x, y in dice.sample(found, min(PARTS, len(found)))]
+    return [(kind, 1, features(kind, form, *_around(text, a, b))), *rows]
+
+
 def examples(text: str) -> list[tuple[int, int, list[float]]]:
     """Training rows ``(kind, label, features)`` of a text."""
     out = []
     spans = base_spans(text)
-    covered = [(a, b) for _, a, b in spans]
+    taken = _Taken(spans)
     # The same text gives the same rows in every run.
     dice = random.Random(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest())
     for kind, a, b in spans:
@@ -194,10 +245,16 @@ def examples(text: str) -> list[tuple[int, int, list[float]]]:
         out.append((kind, 1, features(kind, text[a:b], before, after)))
         for form, label in rewritten(kind, text[a:b], dice):
             out.append((kind, label, features(kind, form, before, after)))
-    for kind, a, b in proposals(text):
-        if all(b <= x or y <= a for x, y in covered):
-            out.append((kind, 0, features(kind, text[a:b], *_around(text, a, b))))
-    return out
+            if label and kind != EMAIL:
+                out += _beside(kind, form, before, after, dice)
+    # Of the other proposals a few, each with the same chance.
+    kept: list[Span] = []
+    for seen, span in enumerate(p for p in proposals(text) if not taken.touch(*p[1:])):
+        if seen < NATURAL:
+            kept.append(span)
+        elif (k := dice.randrange(seen + 1)) < NATURAL:
+            kept[k] = span
+    return out + [(kind, 0, features(kind, text[a:b], *_around(text, a, b))) for kind, a, b in kept]
 
 
 @dataclass(frozen=True)
@@ -318,26 +375,48 @@ def find(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     if not _ANY.search(text):
         return [], []
     base = base_spans(text)
-    taken = [(a, b) for _, a, b in base]
+    taken = _Taken(base)
     judged = []
-    # A span that touches a base span would add nothing; those are looked for once, in order.
-    for kind, a, b in proposals(text):
-        if kind in model and not _touches(taken, a, b):
-            row = np.array([features(kind, text[a:b], *_around(text, a, b))])
-            score = float(model[kind].score(row)[0])
-            if score >= model[kind].threshold:
-                judged.append((-score, a, kind, b))
+    # A span that touches a base span would add nothing; its parts beside it are proposed too.
+    open_ = (p for p in proposals(text) if p[0] in model and not taken.touch(*p[1:]))
+    for some in batched(open_, JUDGED):
+        for kind in {p[0] for p in some}:
+            own = [p for p in some if p[0] == kind]
+            rows = np.array([features(kind, text[a:b], *_around(text, a, b)) for _, a, b in own])
+            scores = model[kind].score(rows)
+            for k in np.flatnonzero(scores >= model[kind].threshold):
+                judged.append((-float(scores[k]), own[k][1] - own[k][2], own[k]))
     added: list[Span] = []
-    used: list[tuple[int, int]] = []
-    for _, a, kind, b in sorted(judged):
-        if not _touches(used, a, b):
-            added.append((kind, a, b))
-            used = sorted([*used, (a, b)])
+    used = _Taken([])
+    # The best first; of equal scores the longer, then the first.
+    for _, _, span in sorted(judged, key=lambda j: (j[0], j[1], j[2][1], j[2][0])):
+        if not used.touch(*span[1:]):
+            added.append(span)
+            used.add(*span[1:])
     return base, added
 
 
-def _touches(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in spans)
+class _Taken:
+    """Places of a text that spans cover, as disjoint sorted ranges."""
+
+    def __init__(self, spans: Sequence[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(s[1:] for s in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touch(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def joined(spans: Sequence[Span]) -> str:
