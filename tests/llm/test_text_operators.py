@@ -321,6 +321,31 @@ def test_numbers_beside_others_are_found(spark):
         assert got == set(re.findall(r"\(?555\)?[ -]\d{3}-\d{4}", text)), text
 
 
+def test_common_notations_do_not_count_as_errors(spark):
+    dice = random.Random(9)
+    number = lambda: [f"{dice.randrange(10 ** n):0{n}}" for n in (3, 3, 4)]
+    rows = []
+    for k in range(600):
+        a, b, c = number()
+        rows.append(f"item {k} call ({a}) {b}-{c} or mail w{a} [at] host{b}.org now")
+        if k % 3 == 0:
+            rows.append(f"item {k} call +1 {a} {b} {c} or mail w{b}@host{c}.org now")
+    df = docs_of(spark, rows)
+    model = pii.train(df)
+    for k in range(50):
+        a, b, c = number()
+        text = f"item {k} call ({a}) {b}-{c} or mail w{a} [at] host{b}.org now"
+        got = {(kind, text[x:y]) for kind, x, y in pii.find(text, model)[1]}
+        assert got == {(pii.PHONE, f"({a}) {b}-{c}"), (pii.EMAIL, f"w{a} [at] host{b}.org")}
+
+
+def test_kinds_without_base_spans_are_found(spark):
+    model = pii.train(docs_of(spark, ["plain words only", "12 of 34"]))
+    assert set(model) == set(range(4))
+    assert [s[0] for s in pii.find("call (555) 123-4567 today", model)[1]] == [pii.PHONE]
+    assert not pii.find("paid 1,234,567 on 2024-01-02, version 1.2.3.4567", model)[1]
+
+
 # ---- mixing ------------------------------------------------------------------
 
 

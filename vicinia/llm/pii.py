@@ -16,14 +16,16 @@ for itself and for rewritten forms of it (without plus sign, other separators,
 obscured at sign), and look-alikes in the same place (wrong check digits, large
 address parts, version numbers, dates, amounts, parts of a number, numbers run
 together) are the other class, together with at most ``NATURAL`` proposals of each
-text that are none by the base rules. Only these rows of
-numbers, at most ``SAMPLE_ROWS``, reach the driver.
+text that fail the digit rules of their kind. Other proposals of the texts may be
+personal data in another notation, so they are of neither class. Thresholds count
+rewritten forms and look-alikes only, without the base spans. Only these rows of
+numbers, at most ``SAMPLE_ROWS``, reach the driver. A kind with fewer than
+``LEAST_SPANS`` base spans among them is trained on made-up ones as well.
 
 Defined results: a null or empty text has no spans; offsets count code points and
 ends are exclusive; equal texts have equal spans; an empty table gives an empty
-result, and without base spans in the sample nothing is added. Texts of any
-length are read whole, in time linear in their length. Only the named columns
-are read; result columns of the same name are replaced.
+result. Texts of any length are read whole, in time linear in their length. Only
+the named columns are read; result columns of the same name are replaced.
 """
 
 from __future__ import annotations
@@ -58,6 +60,7 @@ LONGEST_NAME = 64
 MOST_DIGITS = 19
 #: Proposals judged at once, parts of a form and other proposals of a text that are training rows.
 JUDGED, PARTS, NATURAL = 4096, 6, 20
+LEAST_SPANS = 200
 
 Span = tuple[int, int, int]
 
@@ -189,6 +192,7 @@ def rewritten(kind: int, span: str, dice: random.Random) -> list[tuple[str, int]
         return [
             (f"{name} [at] {place}", 1), (f"{name}(at){place}", 1), (f"{name} [at] {obscured}", 1),
             (f"{name}@{pick(1)}.{pick(1)}", 0), (f"{name} (at) {pick(2)}.{pick(2)}", 0),
+            (f"{name} (at) {place.partition('.')[0]}. Then", 0),
         ]
     if kind == IP:
         parts = span.split(".")
@@ -209,6 +213,8 @@ def rewritten(kind: int, span: str, dice: random.Random) -> list[tuple[str, int]
         (f"00{digits[:-10]} {rest[:3]} {rest[3:6]} {rest[6:]}", 1), (pick(len(rest)), 0),
         (f"20{pick(2)}-{pick(2)}-{pick(2)} {pick(2)}", 0), (f"{pick(3)},{pick(3)},{pick(3)}", 0),
         (f"{pick(5)}.{pick(5)}", 0), (f"{pick(2)}/{pick(2)}/{pick(4)}", 0), (f"{pick(1)}-{pick(4)}-{pick(4)}-{pick(1)}", 0),
+        (f"978-{pick(1)}-{pick(2)}-{pick(6)}-{pick(1)}", 0), (f"{pick(1)},{pick(3)},{pick(3)}.{pick(2)}", 0),
+        (f"{pick(4)}-{pick(4)}, {pick(4)}", 0), (f"{pick(4)} {pick(4)} {pick(4)}", 0),
     ]
 
 
@@ -216,7 +222,24 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - AROUND) : start], text[end : end + AROUND]
 
 
-def _beside(kind: int, form: str, before: str, after: str, dice: random.Random) -> list[tuple[int, int, list[float]]]:
+def fails(kind: int, span: str) -> bool:
+    """Whether a proposal breaks the rules of its kind about digits, in any notation."""
+    groups = re.findall(r"[0-9]+", span)
+    digits = "".join(groups)
+    if kind == CARD:
+        return not luhn(digits)
+    if kind == PHONE:
+        return not 9 <= len(digits) <= 15
+    if kind == IP:
+        return len(groups) != 4 or any(len(g.lstrip("0")) > 3 or int(g) > 255 for g in groups)
+    return re.split(r"[.\])]", span)[-1].strip().isdecimal()
+
+
+#: Kind, label, whether it is no base span, and features.
+Row = tuple[int, int, int, list[float]]
+
+
+def _beside(kind: int, form: str, before: str, after: str, dice: random.Random) -> list[Row]:
     """Training rows of a number beside others: itself, and parts of it or with a neighbour, which are none."""
     pick = lambda n: "".join(dice.choice("0123456789") for _ in range(n))
     date = f"20{pick(2)}-{pick(2)}-{pick(2)}"
@@ -229,12 +252,13 @@ def _beside(kind: int, form: str, before: str, after: str, dice: random.Random)
         whole = other == kind == PHONE and a <= x and y <= b and sum(map(str.isdecimal, text[x:y])) >= 9
         if other != EMAIL and x < b and a < y and not whole and (other, x, y) != (kind, a, b):
             found.append((other, x, y))
-    rows = [(other, 0, features(other, text[x:y], *_around(text, x, y))) for other, x, y in dice.sample(found, min(PARTS, len(found)))]
-    return [(kind, 1, features(kind, form, *_around(text, a, b))), *rows]
+    some = dice.sample(found, min(PARTS, len(found)))
+    rows = [(other, 0, 1, features(other, text[x:y], *_around(text, x, y))) for other, x, y in some]
+    return [(kind, 1, 1, features(kind, form, *_around(text, a, b))), *rows]
 
 
-def examples(text: str) -> list[tuple[int, int, list[float]]]:
-    """Training rows ``(kind, label, features)`` of a text."""
+def examples(text: str) -> list[Row]:
+    """Training rows of a text."""
     out = []
     spans = base_spans(text)
     taken = _Taken(spans)
@@ -242,19 +266,46 @@ def examples(text: str) -> list[tuple[int, int, list[float]]]:
     dice = random.Random(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest())
     for kind, a, b in spans:
         before, after = _around(text, a, b)
-        out.append((kind, 1, features(kind, text[a:b], before, after)))
+        out.append((kind, 1, 0, features(kind, text[a:b], before, after)))
         for form, label in rewritten(kind, text[a:b], dice):
-            out.append((kind, label, features(kind, form, before, after)))
+            out.append((kind, label, 1, features(kind, form, before, after)))
             if label and kind != EMAIL:
                 out += _beside(kind, form, before, after, dice)
-    # Of the other proposals a few, each with the same chance.
+    # Of the proposals that cannot be of their kind a few, each with the same chance.
     kept: list[Span] = []
-    for seen, span in enumerate(p for p in proposals(text) if not taken.touch(*p[1:])):
+    wrong = (p for p in proposals(text) if not taken.touch(*p[1:]) and fails(p[0], text[p[1] : p[2]]))
+    for seen, span in enumerate(wrong):
         if seen < NATURAL:
             kept.append(span)
         elif (k := dice.randrange(seen + 1)) < NATURAL:
             kept[k] = span
-    return out + [(kind, 0, features(kind, text[a:b], *_around(text, a, b))) for kind, a, b in kept]
+    return out + [(kind, 0, 1, features(kind, text[a:b], *_around(text, a, b))) for kind, a, b in kept]
+
+
+_NEIGHBOURS = (
+    ("", ""), ("see ", ", or later"), ("it is ", "."), ("call ", " today"), ("contact: ", "\n"), ("host ", " is down"),
+    ("pay by card ", " now"), ("a, ", ", b"), ("write to ", " or not"), ("order ", " of the list"), ("(", ")"),
+)
+
+
+def made_up(kind: int) -> list[Row]:
+    """Training rows of base spans that no corpus has."""
+    dice = random.Random(kind)
+    pick = lambda n, of="0123456789": "".join(dice.choice(of) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    out: list[Row] = []
+    for _ in range(LEAST_SPANS):
+        card = dice.choice("3456") + pick(14)
+        card += next(d for d in "0123456789" if luhn(card + d))
+        span = (
+            f"{pick(dice.randint(1, 8), letters)}.{pick(6, letters)}@{pick(dice.randint(2, 9), letters)}.{pick(3, letters)}",
+            ".".join(str(dice.randint(0, 255)) for _ in range(4)),
+            dice.choice((card, " ".join(card[k : k + 4] for k in range(0, 16, 4)))),
+            f"+{dice.randint(1, 99)} {pick(3)} {pick(3)} {pick(4)}",
+        )[kind]
+        before, after = dice.choice(_NEIGHBOURS)
+        out += [row for row in examples(before + span + after) if row[0] == kind]
+    return out
 
 
 @dataclass(frozen=True)
@@ -292,10 +343,14 @@ def _best_split(x: np.ndarray, slope: np.ndarray, bend: np.ndarray, edges: list[
     return found
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Trees | None:
-    """Logistic boosting; every fourth row is left out and sets the threshold. None without both classes."""
+def boost(x: np.ndarray, y: np.ndarray, added: np.ndarray) -> Trees | None:
+    """Logistic boosting; every fourth row is left out. None without both classes.
+
+    Those left out that may be ``added``, being no base spans, set the threshold.
+    """
     held = np.arange(len(y)) % 4 == 3
-    if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum()) < 5:
+    judged = held & added
+    if min(y[~held].sum(), (1 - y[~held]).sum(), y[judged].sum()) < 5:
         return None
     own, truth = x[~held], y[~held]
     edges = []
@@ -320,7 +375,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees | None:
         cuts.append([top[1], sides[0][1], sides[1][1]])
         leaves.append(leaf)
     trees = Trees(np.array(columns), np.array(cuts), np.array(leaves), start, 1.0)
-    scores, truth = trees.score(x[held]), y[held]
+    scores, truth = trees.score(x[judged]), y[judged]
     order = np.argsort(-scores, kind="stable")
     right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
     last = np.append(np.diff(scores[order]) != 0, True)
@@ -353,19 +408,22 @@ def train(
                     found += examples(content)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()),
-                    pa.array([f[2] for f in found], pa.list_(pa.float64())),
+                    *[pa.array([f[c] for f in found], pa.int32()) for c in range(3)],
+                    pa.array([f[3] for f in found], pa.list_(pa.float64())),
                 ],
-                names=["kind", "label", "x"],
+                names=["kind", "label", "added", "x"],
             )
 
-    got = chosen.select(text).mapInArrow(run, "kind int, label int, x array<double>")
+    got = chosen.select(text).mapInArrow(run, "kind int, label int, added int, x array<double>")
     # An order that depends on the rows alone, so that every run trains on the same.
-    got = got.orderBy(F.xxhash64("x", "kind", "label"), "kind", "label").limit(SAMPLE_ROWS).collect()
+    got = got.orderBy(F.xxhash64("x", "kind", "label", "added"), "kind", "label", "added").limit(SAMPLE_ROWS).collect()
     model: Model = {}
     for kind in range(len(KINDS)):
-        own = [r for r in got if r["kind"] == kind]
-        if own and (trees := boost(np.array([r["x"] for r in own]), np.array([r["label"] for r in own], float))):
+        own = [tuple(r) for r in got if r["kind"] == kind]
+        if sum(not r[2] for r in own) < LEAST_SPANS:
+            own += made_up(kind)
+        label, added = np.array([r[1] for r in own], float), np.array([r[2] for r in own], bool)
+        if trees := boost(np.array([r[3] for r in own]), label, added):
             model[kind] = trees
     return model
 
