@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -116,6 +117,16 @@ def test_sketches_never_lose_small_sets():
     assert 30 < near.least_overlap(5000, 64, 85) < 54
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_sketches_lose_less_than_one_link_in_a_million(threshold):
+    share = threshold / 100
+    chance = lambda n, k: math.comb(n, k) * share**k * (1 - share) ** (n - k)
+    # A set inside the other, and the estimate on longer sketches: the exact chance to fall below the margin.
+    lost = sum(chance(near.SKETCH, k) for k in range(near.least_overlap(5000, near.SKETCH, threshold)))
+    far = [k for k in range(near.LONG_SKETCH) if not near.may_reach(k, near.LONG_SKETCH, threshold)]
+    assert lost < 1e-6 and sum(chance(near.LONG_SKETCH, k) for k in far) < 1e-6
+
+
 # ---- repeated passages -------------------------------------------------------
 
 

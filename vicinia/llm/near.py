@@ -8,7 +8,7 @@ are the components of the links.
    for it below.
 2. The ``SKETCH`` smallest hashes of a set are its sketch. An inverted list holds
    the documents that retained a value. Sketches of linked documents share at
-   least ``needed`` values (all but one link in about a million at the threshold
+   least ``needed`` values (all but 1.5 links in ten million at the threshold
    itself, and fewer beyond; without exception where sets fit their sketch). So
    of each sketch only its rarest values, all but ``needed - 1``, need a list, and
    values that nobody else retained use up their places without one.
@@ -54,7 +54,7 @@ SKETCH = 64
 WHOLE = 256
 LONG_SKETCH = 128
 #: Standard deviations below the expected overlap that a sketch may fall.
-MARGIN = 4.5
+MARGIN = 5.5
 #: Documents of a block.
 BLOCK = 512
 #: IDs that may be broadcast: 8 bytes each.
@@ -160,10 +160,8 @@ def _confirm(threshold: int):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                linked = may_reach(*estimate(a, b, 4 * SKETCH), threshold)
-                if linked:
-                    shared = overlap(a, b)
-                    linked = 100 * shared >= threshold * (len(a) + len(b) - shared)
+                shared = overlap(a, b) if len(a) and len(b) else 0
+                linked = len(a) and len(b) and 100 * shared >= threshold * (len(a) + len(b) - shared)
                 keep.append(bool(linked))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
