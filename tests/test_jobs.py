@@ -12,6 +12,7 @@ from vicinia.operators.relevance import Settings
 from vicinia.plans import jobs
 from vicinia.sources import feeds
 from vicinia.schemas import PAPERS
+from vicinia.sources.files import Folder
 from vicinia.sources.tables import TableStore
 from vicinia.streaming import stream
 
@@ -136,7 +137,7 @@ def test_a_second_run_reads_the_stored_fit(spark, store, monkeypatch):
     def fail(*args, **options):
         raise AssertionError("the library was searched again")
 
-    monkeypatch.setattr("vicinia.operators.lof.knn", fail)
+    monkeypatch.setattr("vicinia.operators.incremental.knn", fail)
     again = jobs.prepare_library(store, PICKY, SETTINGS)
     assert sorted(again.fitted.about.collect()) == sorted(first.fitted.about.collect())
     assert again.stats["library_left_out"] == 0
@@ -164,8 +165,8 @@ def test_unusable_rows_are_kept_in_quarantine(spark, tmp_path):
 
 def test_jobs_leave_no_cut_tables_but_those_of_their_results(spark, store, landed):
     def folders():
-        files, root = store._file_system(spark.sparkContext.getCheckpointDir())
-        return {s.getPath().getName() for s in files.listStatus(root) if s.getPath().getName().startswith("cut-")}
+        shared = Folder(spark, spark.sparkContext.getCheckpointDir())
+        return {name for name in shared.names() if name.startswith("cut-")}
 
     before = folders()
     listing = feeds.read_listings(spark, {"quant-ph": landed["listing"]})

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from vicinia.operators import embed
 from vicinia.schemas import PAPERS
+from vicinia.sources.layers import KEPT
 from vicinia.sources.tables import TableStore
 
 
@@ -83,16 +84,6 @@ def test_memberships(spark, store):
     assert [r.paper_id for r in store.members("c").collect()] == ["p3"]
 
 
-def test_an_upsert_reads_only_the_buckets_it_touches(spark, store):
-    store.upsert_papers(papers(spark, *[(f"p{k}", "s", "t", []) for k in range(40)]))
-    one = papers(spark, ("p7", "s", "new", [])).withColumn("bucket", store._bucket("id"))
-    touched = store._touched("papers", one)
-    bucket = one.first()["bucket"]
-    plan = touched._jdf.queryExecution().executedPlan().toString()
-    assert f"(bucket#" in plan and f"= {bucket})" in plan.split("PartitionFilters")[1]
-    assert {r.bucket for r in touched.select("bucket").distinct().collect()} == {bucket}
-
-
 def test_replaced_collections_may_derive_from_the_stored_ones(spark, store):
     cols = "key string, name string, parent_key string, ord long"
     store.replace_collections(spark.createDataFrame([("a", "A", None, 0)], cols))
@@ -101,8 +92,7 @@ def test_replaced_collections_may_derive_from_the_stored_ones(spark, store):
         store.replace_collections(store.read("collections").withColumn("name", F.concat("name", F.lit("!"))))
     assert [r.name for r in store.read("collections").collect()] == ["A!!!"]
     del before
-    files, folder = store._file_system(f"{store.root}/collections")
-    assert len(files.listStatus(folder)) == 2
+    assert len(store.folder.names("collections/data")) == KEPT
 
 
 def test_the_first_vector_settles_the_size_of_a_model(spark, store):

@@ -54,13 +54,13 @@ def vector_profile(df: DataFrame, vector: str = "embedding", dim: int | None = N
     Without ``dim`` the size is that of the first valid vector by ``ord`` and ID: one row more or
     less of another size does not change it.
     """
-    order = [c for c in ("ord", "paper_id", "query_id") if c in df.columns]
     rows = df.where(vectors.is_valid(vector))
-    if dim is None:
-        dim = rows.agg(F.min_by(F.size(vector), F.struct(*order))).first()[0]
-        if dim is None:
-            return 0, 0
-    return rows.where(F.size(vector) == dim).count(), dim
+    if dim is not None:
+        return rows.where(F.size(vector) == dim).count(), dim
+    order = F.struct(*[c for c in ("ord", "paper_id", "query_id") if c in df.columns])
+    sizes = rows.groupBy(F.size(vector).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    row = sizes.orderBy("first").first()
+    return (row["n"], row["size"]) if row else (0, 0)
 
 
 def knn(

@@ -28,7 +28,8 @@ def effective_neighbors(wanted: int, library_rows: int) -> int:
     return max(2, min(wanted, library_rows - 1))
 
 
-def _density(reach: Column) -> Column:
+def density(reach: Column) -> Column:
+    """Local reachability density of a mean reach."""
     return F.lit(1.0) / (reach + F.lit(DENSITY_FLOOR))
 
 
@@ -71,14 +72,16 @@ def fit(
     neighbors: int = 20,
     dim: int | None = None,
     about: DataFrame | None = None,
+    count: int | None = None,
     **knn_options,
 ) -> FittedLibrary:
     """Fit ``library(paper_id, ord, embedding[, title])``; unusable vectors are listed in ``left_out``.
 
     The library is read several times, so pass it as a stored table. ``dim`` is the
-    model's vector size. ``about`` is an earlier fit of the same rows: it is taken as it is.
+    model's vector size. ``about(paper_id, kdist, lrd)`` is a fit of the same ``count`` rows: it is taken as it is.
     """
-    count, dim = vector_profile(library, dim=dim)
+    if about is None or count is None or dim is None:
+        count, dim = vector_profile(library, dim=dim)
     left_out = unusable(library, dim)
     if "title" not in library.columns:
         library = library.withColumn("title", F.lit("").cast(T.StringType()))
@@ -86,12 +89,12 @@ def fit(
     library = rows.select("paper_id", "ord", vectors.as_doubles("embedding").alias("embedding"))
     titles = rows.select("paper_id", "title")
     k = effective_neighbors(neighbors, count)
+    if about is not None:
+        return FittedLibrary(library, titles.join(about, "paper_id"), count, dim, k, left_out)
     if count < SMALLEST_FITTED_LIBRARY:
         none = F.lit(None).cast("double")
         about = titles.withColumns({"kdist": none, "lrd": none})
         return FittedLibrary(library, about, count, dim, k, left_out)
-    if about is not None:
-        return FittedLibrary(library, about, count, dim, k, left_out)
 
     pairs = cut(
         knn(
@@ -113,7 +116,7 @@ def fit(
         .groupBy("query_id")
         .agg(
             F.max("distance").alias("kdist"),
-            _density(F.avg(F.greatest("kdist", "distance"))).alias("lrd"),
+            density(F.avg(F.greatest("kdist", "distance"))).alias("lrd"),
         )
     )
     about = titles.join(lrd.withColumnRenamed("query_id", "paper_id"), "paper_id")
@@ -151,7 +154,7 @@ def score(
         result = (F.avg(F.lit(1.0) - F.col("distance")) + 1.0) / 2.0
     else:
         near = F.col("rank") <= fitted.neighbors
-        own = _density(F.avg(F.when(near, F.greatest("kdist", "distance"))))
+        own = density(F.avg(F.when(near, F.greatest("kdist", "distance"))))
         lof = F.avg(F.when(near, F.col("lrd"))) / own
         result = vectors.density_score(lof)
     columns = [lof.alias("lof"), F.round(result, digits).alias("score")]

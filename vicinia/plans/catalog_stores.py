@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import embed, hierarchy, lof, ranking, terms
+from ..operators import embed, hierarchy, incremental, lof, ranking, terms
 from ..operators.relevance import Settings
-from ..session import scratch_path
-from ..sources import feeds, tables
+from ..session import cut, scratch_path
+from ..sources import feeds, layers, tables
 from ..streaming import stream
 from . import catalog, given, jobs
 from .catalog import query, sql_hash, sql_lof
@@ -179,13 +179,103 @@ def stored_density(spark: SparkSession, folder: str) -> DataFrame:
     settings = Settings(source="given")
     for _ in range(2):
         snapshot = jobs.prepare_library(store, GIVEN_MODEL, settings)
-    files, root = store._file_system(f"{store.root}/library_lof")
+    fits = [store._fit_tables(name)[1].sequence() for name in store.folder.names("library_fits")]
     return snapshot.fitted.about.select(
-        "paper_id", F.round("kdist", 9).alias("kdist"), F.round("lrd", 6).alias("lrd"),
-        F.lit(len(files.listStatus(root))).alias("fits"),
+        "paper_id", F.round("kdist", 9).alias("kdist"), F.round("lrd", 6).alias("lrd"), F.lit(sum(fits)).alias("fits")
     )
 
 
+@query(
+    f"""
+WITH {sql_lof(catalog.SQL_ALL_LIB, catalog.SQL_ALL_QRY)}
+SELECT p AS paper_id, round(kdist, 9) AS kdist, round(lrd, 6) AS lrd, true AS fewer_searches FROM fitted"""
+)
+def incremental_density(spark: SparkSession, folder: str) -> DataFrame:
+    """Densities of all vectors: a library without German and French papers that gains the German, loses the Spanish,
+    and gains the French and the Spanish again."""
+    lib, arrivals = given.split_by_language(spark, folder)
+    rows = lib.unionByName(arrivals.withColumnRenamed("query_id", "paper_id")).select("paper_id", "ord", "embedding", "lang")
+    rows = cut(rows.withColumn("lang", F.coalesce("lang", F.lit("en"))))
+    languages = [["de", "fr"], ["fr"], ["fr", "es"], []]
+    states, held = [], None
+    for missing in languages:
+        now = rows.where(~F.col("lang").isin(missing)) if missing else rows
+        now = now.drop("lang")
+        if not states:
+            states.append(incremental.start(now))
+        else:
+            added, removed = incremental.changes(held, now)
+            states.append(incremental.update(states[-1], now, added, removed, refit_share=1.0))
+        held = cut(now.select("paper_id", incremental.fingerprint().alias("print")))
+    # A change searches the whole library for fewer rows than it has.
+    fewer = all(s.searched < s.count for s in states[1:])
+    return states[-1].about.select(
+        "paper_id", F.round("kdist", 9).alias("kdist"), F.round("lrd", 6).alias("lrd"), F.lit(fewer).alias("fewer_searches")
+    )
+
+
+EVENT_BATCHES = 5
+
+
+@query(
+    f"""
+WITH numbered AS (SELECT *, ntile({EVENT_BATCHES}) OVER (ORDER BY event_id) AS batch FROM events),
+newest AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY batch DESC, ts DESC, event_id DESC) AS place FROM numbered)
+SELECT user_id, event_id, event_type, value, props FROM newest WHERE place = 1 AND event_type <> 'error'"""
+)
+def delta_upserts(spark: SparkSession, folder: str) -> DataFrame:
+    """The last event of each user: five batches are upserted as layers and compacted in between; users whose last
+    event is an error are deleted."""
+    events = given.table(spark, folder, "events")
+    total = events.count()
+    ranked = cut(ranking.distributed_rank(events.withColumn("all", F.lit(1)), ["all"], [F.col("event_id")]))
+    # As ntile deals them: the first batches take one row more where the rows do not come out even.
+    size, more = divmod(total, EVENT_BATCHES)
+    ends = [size * (k + 1) + min(k + 1, more) for k in range(EVENT_BATCHES)]
+    table = layers.LayeredTable(
+        spark, scratch_path(spark, "events"), events.schema, ["user_id"], buckets=4,
+        indexed={"event_type": lambda: F.col("event_type")},
+    )
+    for k, end in enumerate(ends):
+        batch = ranked.where((F.col("rank") > (ends[k - 1] if k else 0)) & (F.col("rank") <= end))
+        table.upsert(batch.select(*events.columns), ["ts", "event_id"])
+        if k == 2:
+            table.compact(force=True)
+    table.delete(table.by_value("event_type", "error").where("event_type = 'error'").select("user_id"))
+    return table.read().select("user_id", "event_id", "event_type", "value", "props")
+
+
+@query(
+    """
+WITH shelf AS (SELECT source || ':' || lang AS key FROM documents GROUP BY ALL ORDER BY count(*) DESC, key LIMIT 1)
+SELECT doc_id::VARCHAR AS id FROM documents WHERE source || ':' || lang = (SELECT key FROM shelf)"""
+)
+def members_by_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Members of the largest shelf, through the index from collections to buckets."""
+    store = catalog._document_store(spark, folder)
+    shelves = store.memberships().groupBy("collection_key").count()
+    largest = shelves.orderBy(F.desc("count"), "collection_key").first()["collection_key"]
+    return store.members(largest).select(F.col("paper_id").alias("id"))
+
+
+@query(
+    f"""
+WITH {catalog.SQL_PAPERS}
+SELECT doc_id::VARCHAR AS id, title, CASE WHEN lang = 'de' THEN 'moved' ELSE source END AS source
+FROM papers WHERE lang = 'de' OR source = 'src1'"""
+)
+def papers_of_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers of two sources through the index, after a second write moved the German ones from one to the other."""
+    papers = given.papers(spark, folder)
+    store = tables.TableStore(spark, scratch_path(spark, "sources"), buckets=8)
+    rows = catalog._as_items(papers, tx.string_array([])).drop("source")
+    rows = rows.join(papers.select(F.col("paper_id").cast("string").alias("id"), "source", "lang"), "id")
+    store.upsert_papers(rows)
+    store.upsert_papers(rows.where("lang = 'de'").withColumn("source", F.lit("moved")))
+    return store.papers_of("src1").unionByName(store.papers_of("moved")).select("id", "title", "source")
+
+
 class UnevenEmbedder:
     """A model with faults: it fails on some texts, and gives other sizes or no numbers for others."""
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import digest, embed, hierarchy, lof, relevance
+from ..operators import digest, embed, hierarchy, incremental, lof, relevance
 from ..operators.centroids import collection_centroids, without_excluded
+from ..operators.knn import vector_profile
 from ..operators.relevance import Settings
 from ..session import cut, cut_counting, job_tables
 from ..sources import feeds, library, links
@@ -133,6 +134,8 @@ def prepare_library(
 ) -> Snapshot:
     """Fit the library of a model, less the papers and centroids that are excluded."""
     model_id = using.model_id
+    # Taken before the rows are read: a change in between is found by the next run.
+    tables = store.sequences()
     rows = embed.library_vectors(
         store.read("papers"), store.embeddings_of(model_id), settings.source, model_id
     ).withColumn("ord", F.col("paper_id"))
@@ -144,7 +147,7 @@ def prepare_library(
         barred = hierarchy.fully_excluded_papers(store.memberships(), excluded)
         centroids = without_excluded(centroids, hierarchy.collection_paths(tree), excluded)
     library, stats = _kept_rows(rows, barred)
-    fitted = _stored_fit(store, library, using, settings, **knn_options)
+    fitted = _stored_fit(store, library, using, settings, tables, **knn_options)
     stats["library_left_out"] = stats["library_after"] - fitted.count
     if stats["library_left_out"]:
         found = fitted.left_out.select(F.col("paper_id").alias("id"), "reason")
@@ -154,24 +157,35 @@ def prepare_library(
 
 
 def _stored_fit(
-    store: TableStore, library: DataFrame, using: embed.Model, settings: Settings, **knn_options
+    store: TableStore, library: DataFrame, using: embed.Model, settings: Settings, tables: dict[str, int], **knn_options
 ) -> lof.FittedLibrary:
-    """The fit of exactly these rows, read if it is stored, else worked out and stored.
+    """The fit of exactly these rows, brought up to date from the last one of the same settings.
 
-    Its name is a digest of the model, the number of neighbours and the rows themselves, so a
-    change of the library or of the exclusions makes another fit. One pass over the rows finds
-    it; the search of the library in itself is saved.
+    While the tables are in the states the last fit belongs to, nothing is looked at. Otherwise rows are
+    compared by their prints, and only what the changed ones reach is worked out again.
     """
+    wanted = (using.model_id, settings.source, settings.lof_neighbors, sorted(settings.excluded_names))
+    name = hashlib.sha256(repr(wanted).encode()).hexdigest()
+    kept = store.fit_state(name)
     dim = store.dimension(using.model_id)
-    content = F.xxhash64("paper_id", "title", "embedding").cast("decimal(38,0)")
-    other = F.hash("paper_id", "embedding", "title").cast("decimal(38,0)")
-    row = library.agg(F.count(F.lit(1)), F.sum(content), F.sum(other)).first()
-    name = hashlib.sha256(repr((using.model_id, dim, settings.lof_neighbors, *map(str, row))).encode()).hexdigest()
-    about = store.stored_fit(name)
-    fitted = lof.fit(library, settings.lof_neighbors, dim=dim, about=about, **knn_options)
-    if about is None:
-        fitted = replace(fitted, about=store.store_fit(name, fitted.about))
-    return fitted
+    if dim is None:
+        dim = vector_profile(library)[1]
+    state = kept[0] if kept and kept[0].dim == dim else None
+    if state is None or kept[2] != tables:
+        rows = library.where(vectors.is_valid("embedding", dim)).select(
+            "paper_id", "ord", vectors.as_doubles("embedding").alias("embedding")
+        )
+        prints = rows.select("paper_id", incremental.fingerprint().alias("print"))
+        if state is None:
+            state = store.store_fit(name, incremental.start(rows, settings.lof_neighbors, dim=dim, **knn_options), prints, tables)
+        else:
+            added, removed = incremental.changes(kept[1], rows)
+            new = incremental.update(state, rows, added, removed, settings.lof_neighbors, **knn_options)
+            if new.searched or new.count != state.count or new.revised or new.rated:
+                state = store.store_fit(name, new, prints, tables)
+            else:
+                store.confirm_fit(name, state, tables)
+    return lof.fit(library, settings.lof_neighbors, dim=state.dim, about=state.about, count=state.count)
 
 
 def _kept_rows(rows: DataFrame, barred: DataFrame | None) -> tuple[DataFrame, dict[str, int]]:

@@ -52,9 +52,6 @@ CENTROIDS = _struct(
     ("ord", T.LongType()),
 )
 
-#: The vector size of each model, set by the first vector stored for it.
-MODELS = _struct(("model", T.StringType()), ("dim", T.IntegerType()))
-
 #: Rows that a run could not use, with the table they were meant for or found in.
 QUARANTINE = _struct(
     ("run", T.StringType()),
@@ -64,14 +61,21 @@ QUARANTINE = _struct(
     ("reason", T.StringType()),
 )
 
-#: Densities of a library's rows, stored for each state of the library.
+#: Densities of a library's rows, with what tells a changed row.
 LIBRARY_LOF = _struct(
     ("paper_id", T.StringType()),
-    ("title", T.StringType()),
+    ("print", T.StringType()),
     ("kdist", T.DoubleType()),
     ("lrd", T.DoubleType()),
 )
 
+#: The lists of nearest neighbours behind the densities.
+NEIGHBOR_LISTS = _struct(
+    ("query_id", T.StringType()),
+    ("neighbor_id", T.StringType()),
+    ("distance", T.DoubleType()),
+)
+
 FEED = _struct(
     ("paper_id", T.StringType()),
     ("title", T.StringType()),

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from dataclasses import fields, is_dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = 8, app_name: str = "vicinia", **conf: str) -> SparkSession:
@@ -100,10 +100,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """:func:`cut`, with aggregates of the written rows: what ran twice is not counted twice."""
-    table = cut(df)
-    found = table.agg(*[value.alias(name) for name, value in counts.items()]).first()
-    return table, found.asDict()
+    """:func:`cut`, with aggregates of the written rows, taken while they are written.
+
+    Spark takes what the last stage observes once per task, however often the task runs.
+    """
+    seen = Observation()
+    table = cut(df.observe(seen, *[value.alias(name) for name, value in counts.items()]))
+    return table, seen.get
 
 
 def _frames(value: object) -> Iterator[DataFrame]:
