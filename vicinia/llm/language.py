@@ -5,18 +5,19 @@ count as one space, A-Z as a-z) is hashed into a table of embeddings; a text is
 the mean of its runs' embeddings, and a linear softmax tells the language. Both
 tables are learned together by stochastic gradient descent in NumPy on the driver
 from a sample of labelled rows: ``sample_per_language`` rows expected per
-language (``SAMPLE_ROWS`` in all at most, about), each with at most ``sample_runs`` runs, taken evenly over the whole
-text. A fifth of the sample is left out of the descent; it sets the temperature
+language (``SAMPLE_ROWS`` in all, about, but one row of every language at least), each with at most ``sample_runs``
+runs, taken evenly over the whole text. Every label that occurs is learned. A fifth of the sample is left out of the descent; it sets the temperature
 that makes the highest probability an honest one, and the score below which a
 prediction is rejected: the highest below which at least half of them are wrong.
 
 A prediction reads the whole text. As the mean and the softmax are linear up to
 the last step, both tables are multiplied into one logit per run and language
-before they are broadcast; its size is ``BUCKETS`` times the number of languages.
+before they are broadcast, as long as there are no more languages than dimensions; else the embeddings are
+averaged and multiplied once per text. So what is broadcast grows by ``DIMENSION`` numbers a language only.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and
 rejected; equal texts get equal predictions; an empty table gives an empty
-result; a sample without labels gives a model that answers ``und`` for all.
+result; a sample without labels gives a model that answers ``und`` for all, and rejects only what has no letter.
 Only the named columns are read; columns of the same name as a result are
 replaced.
 """
@@ -24,7 +25,7 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ DIMENSION = 16
 SAMPLE_PER_LANGUAGE = 800
 #: With many languages, fewer rows of each: so many in all, about.
 SAMPLE_ROWS = 12_000
-#: A corpus with more labels than this is trained on the commonest.
-MOST_LANGUAGES = 400
+#: Labels whose sampling rates may be broadcast: a name and a number each.
+BROADCAST_LABELS = 100_000
 SAMPLE_RUNS = 600
 EPOCHS, BATCH, RATE = 6, 16, 4.0
 #: A small sample is gone through more often, up to this many texts in all.
@@ -79,13 +80,21 @@ def has_letter(text: str) -> bool:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, logits per bucket and language, logits of the bias, temperature and rejection score."""
+    """Languages, logits per bucket and language, logits of the bias, temperature and rejection score.
+
+    With ``weight``, ``logits`` are embeddings still to be multiplied by it.
+    """
 
     languages: tuple[str, ...]
     logits: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
+    weight: np.ndarray | None = None
+
+    def raw(self, mean: np.ndarray) -> np.ndarray:
+        """Logits of texts by the means of their runs."""
+        return (mean if self.weight is None else mean @ self.weight) + self.bias
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -122,9 +131,10 @@ def fit(runs: list[np.ndarray], labels: np.ndarray, languages: Sequence[str], se
             for d in range(DIMENSION):
                 embed[:, d] -= np.bincount(ids, share[:, d], BUCKETS).astype(np.float32)
             done += len(rows)
-    logits = (embed @ weight).astype(np.float32)
+    logits, after = ((embed @ weight).astype(np.float32), None) if n <= DIMENSION else (embed, weight)
     judged = np.flatnonzero(held) if held.any() else train
-    raw = np.stack([logits[runs[r]].mean(axis=0) for r in judged]) + bias
+    untold = Model(tuple(languages), logits, bias.astype(np.float64), 1.0, 0.0, after)
+    raw = untold.raw(np.stack([logits[runs[r]].mean(axis=0) for r in judged]))
     truth = labels[judged]
     temperatures = np.geomspace(0.1, 10, 41)
     losses = [-np.log(_softmax(raw / t)[np.arange(len(judged)), truth] + 1e-12).mean() for t in temperatures]
@@ -135,22 +145,32 @@ def fit(runs: list[np.ndarray], labels: np.ndarray, languages: Sequence[str], se
     wrong = np.cumsum(chance.argmax(axis=1)[order] != truth[order]) / np.arange(1, len(order) + 1)
     bad = np.flatnonzero((wrong >= WRONG_SHARE) & (np.arange(len(order)) + 1 >= FEWEST_REJECTED))
     reject_below = float(np.nextafter(scores[order[bad[-1]]], 1)) if len(bad) else 0.0
-    return Model(tuple(languages), logits, bias.astype(np.float64), temperature, reject_below)
+    return replace(untold, temperature=temperature, reject_below=reject_below)
 
 
 def sample(df: DataFrame, text: str, label: str, row_id: str, per_language: int, most_runs: int):
     """``(runs, labels, languages)`` of about ``per_language`` rows of each label, chosen by a hash of the ID."""
     known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    key = F.coalesce(F.col(row_id).cast("string"), F.lit(""))
+    # Rows without an ID are told apart by their text.
+    draw = F.when(F.col(row_id).isNull(), F.xxhash64(F.lit(""), text)).otherwise(F.xxhash64(key))
+    known = known.select(
+        F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.pmod(draw, F.lit(1 << 30)).alias("draw")
+    )
     # One row per language.
-    sizes = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()
     if not sizes:
         return [], np.zeros(0, np.int64), ()
-    languages = tuple(sorted(r[0] for r in sizes))
+    languages = tuple(sorted(r["label"] for r in sizes))
     per_language = min(per_language, SAMPLE_ROWS // len(languages))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col(row_id).cast("string"), F.lit(""))), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for row in sizes:
-        chosen = chosen | ((F.col(label) == row[0]) & (draw < int(min(1.0, per_language / row[1]) * (1 << 30))))
+    spark = df.sparkSession
+    rates = spark.createDataFrame(
+        [(r["label"], max(int(min(1.0, per_language / r["n"]) * (1 << 30)), r["least"] + 1)) for r in sizes],
+        "label string, below bigint",
+    )
+    rates = F.broadcast(rates) if len(sizes) <= BROADCAST_LABELS else rates
+    # Rows that are copies with their ID are drawn together: one stands for them.
+    chosen = known.join(rates, "label").where("draw < below").groupBy("label", "draw").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +185,9 @@ def sample(df: DataFrame, text: str, label: str, row_id: str, per_language: int,
                 kept = [c.slice(first, last - first) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *kept], names=["runs", "label", "draw"])
 
-    ship(df.sparkSession)
-    rows = known.where(chosen).select(F.col(text), F.col(label), draw.alias("draw"))
-    # At most SAMPLE_ROWS rows (about) of most_runs numbers.
-    got = rows.mapInArrow(features, "runs binary, label string, draw bigint").collect()
+    ship(spark)
+    # At most SAMPLE_ROWS rows (about), or one of each language, of most_runs numbers.
+    got = chosen.select("text", "label", "draw").mapInArrow(features, "runs binary, label string, draw bigint").collect()
     place = {name: k for k, name in enumerate(languages)}
     got = sorted((r for r in got if len(r["runs"])), key=lambda r: (r["draw"], r["label"], bytes(r["runs"])))
     return (
@@ -188,7 +207,7 @@ def train(
 
 def predict_slice(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(language number, score, has an ASCII letter)`` of each text of a slice."""
-    rows, n = len(offsets) - 1, len(model.languages)
+    rows, n = len(offsets) - 1, model.logits.shape[1]
     # A space before and after each text, so that runs see its ends and do not join texts.
     lengths = np.diff(offsets)
     place = np.arange(len(data)) + np.repeat(2 * np.arange(rows) + 1, lengths)
@@ -205,7 +224,7 @@ def predict_slice(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[
         for k in range(n):
             values = np.concatenate([[0.0], np.cumsum(model.logits[:, k][buckets], dtype=np.float64)])
             total[:, k] += values[np.minimum(begin + inside, len(buckets))] - values[np.minimum(begin, len(buckets))]
-    mean = total / np.maximum(count, 1)[:, None] + model.bias
+    mean = model.raw(total / np.maximum(count, 1)[:, None])
     chance = _softmax(mean / model.temperature)
     letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
     return chance.argmax(axis=1), chance.max(axis=1), letters[offsets[1:]] > letters[offsets[:-1]]
@@ -237,16 +256,19 @@ def predict(
             for first, last, data, offsets in text_slices(batch.column(at)):
                 if model.languages:
                     best, scores, lettered = predict_slice(model, data, offsets)
-                    for k in np.flatnonzero(~lettered):
-                        lettered[k] = has_letter(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "ignore"))
                 else:
                     best, scores, lettered = (np.zeros(last - first, t) for t in (int, float, bool))
-                best = np.where(lettered, best, len(model.languages))
+                for k in np.flatnonzero(~lettered):
+                    lettered[k] = has_letter(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "ignore"))
+                rejected = ~lettered
+                if model.languages:
+                    rejected |= scores < model.reject_below
+                best = np.where(lettered, best, len(model.languages)) if model.languages else best
                 scores = np.where(lettered, scores, 0.0)
                 out = [c.slice(first, last - first) for c in batch.columns[: len(kept)]]
                 out += [
                     pa.array(names[best].tolist(), pa.string()), pa.array(scores, pa.float64()),
-                    pa.array(~lettered | (scores < model.reject_below), pa.bool_()),
+                    pa.array(rejected, pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
