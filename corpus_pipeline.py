@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vicinia.llm import bpe, language, mixing, near, pii
 from vicinia.llm.queries import public_vocabulary
-from vicinia.session import cut
+from vicinia.session import cut, job_tables
 
 #: Near copies share at least this percentage of their runs of five words.
 THRESHOLD = 80
@@ -30,19 +30,37 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest ID of each class of near copies, and one row of each ID.
+    """Keep of each class of near copies the document with the smallest ID.
 
-    Rows without an ID stay, one of each text.
+    Documents are told apart by ID and text: rows that share both are one, of which the first by the
+    other columns stays; rows of one ID with different texts are documents of their own, and so are
+    rows without an ID, which come after all others. Texts are shuffled only where the sets of rows that go are too
+    large to be broadcast.
     """
-    classes = near.near_duplicates(docs, threshold=THRESHOLD)
-    kept = classes.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    # Joined and told apart in one shuffle of the texts.
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    order = [F.desc(F.length("text")), F.col("text")]
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    rows = rows.withColumn("_row", first).where("_row = 1").select(*docs.columns)
-    # Rows without an ID are one node, the smallest, and so the one of its class that stays: with all its texts.
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    key, text = place["doc_id"], place["text"]
+    rows = rows.withColumn("node", F.xxhash64(key, text))
+    classes = near.near_duplicates(rows.select("node", F.col(text).alias("text")), row_id="node", threshold=THRESHOLD)
+    # Members of classes of one are never looked at again.
+    found = cut(classes.where("node <> component_id").select("node", "component_id").distinct())
+    linked = found.unionByName(found.select(F.col("component_id").alias("node"), "component_id").distinct())
+    members = rows.select("node", F.col(key).alias("id")).join(linked, "node")
+    first = members.groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).getField("node").alias("first")
+    )
+    losers = linked.join(first, "component_id").where(F.col("node") != F.col("first"))
+    repeated = rows.groupBy("node").count().where("count > 1")
+    fates = cut(
+        losers.select("node", F.lit("goes").alias("fate"))
+        .unionByName(repeated.select("node", F.lit("repeats").alias("fate")))
+        .groupBy("node").agg(F.min("fate").alias("fate"))
+    )
+    rows = rows.join(fates, "node", "left")
+    once = F.row_number().over(Window.partitionBy("node").orderBy(*[c for c in place.values() if c not in (key, text)]))
+    twice = rows.where("fate = 'repeats'").withColumn("row", once).where("row = 1")
+    kept = rows.where("fate IS NULL").select(*place.values()).unionByName(twice.select(*place.values()))
+    return kept.toDF(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -100,10 +118,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote besides its result is deleted after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with job_tables(spark) as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir)))
+    return STAGES[-1][1](spark, docs, sf_dir)
