@@ -1,5 +1,6 @@
 """Many labels, no labels, and rows that share an ID: nothing that should stay goes."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vicinia.llm import language
+from vicinia.llm import language, neighbours, shards
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -86,3 +87,32 @@ def test_rows_of_one_id_are_told_apart_by_text(spark):
     assert (None, None) in texts
     assert sum(t in (words(4), words(4) + " tail") for i, t in texts) == 1
     assert len(found) == 6
+
+
+def test_neighbours_of_products_that_overflow(spark):
+    rows = [(k, [1e200, 1e200]) for k in range(44)] + [(44, [-1e200, 1.0]), (45, [1e200, -1e200])]
+    found = neighbours.search(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.pmod(F.col("id"), F.lit(20)) == 0
+    ).collect()
+    assert {r["query_id"] for r in found} == {0, 20, 40}
+    for query in (0, 20, 40):
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == query)
+        assert [v for _, v, _ in own] == [k for k in range(44) if k != query][:20]
+        assert {s for _, _, s in own} == {float("inf")}
+
+
+def test_shards_give_back_whole_rows(spark, tmp_path):
+    docs = docs_of(spark, [(k, f"text {k}", "en") for k in range(50)] + [(None, None, None), (3, "other", "de")])
+    names = [f"s{k}" for k in range(5)]
+    placed = shards.place(docs, ["doc_id"], names, size=101)
+    path = str(tmp_path / "shards")
+    shards.write(placed, path)
+    back = shards.read(spark, path, placed.schema)
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    table = shards.lookup_table(names, 101)
+    one = shards.read(spark, path, placed.schema, "s2")
+    assert {f.split("shard=")[1].split("/")[0] for f in one.inputFiles()} <= set(names)
+    for r in back.collect():
+        mark = "-" if r["doc_id"] is None else f"+{r['doc_id']}"
+        assert r["shard"] == names[table[int(hashlib.md5(mark.encode()).hexdigest()[:12], 16) % 101]]
+    assert one.count() == sum(r["shard"] == "s2" for r in back.collect())

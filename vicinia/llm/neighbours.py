@@ -210,15 +210,20 @@ def _ask(quantiser: Quantiser, counts: np.ndarray, first: np.ndarray, parts: np.
 
 def best_rows(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, open_: np.ndarray, k: int):
     """``(query row, vector row, score)`` of the k best open vectors of each query, ties to the smaller ID."""
-    rough = np.where(open_ & (ids[None, :] != own[:, None]), queries @ vectors.T, -np.inf)
+    fits = open_ & (ids[None, :] != own[:, None])
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = queries @ vectors.T
+    # Products may overflow: infinite ones rank first or last, undefined ones last of all.
+    rough[np.isnan(rough) | ~fits] = -np.inf
     rows, columns, scores = [], [], []
     k = min(k, rough.shape[1])
     edge = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
     for q in range(len(queries)):
         # A matrix product may round equal vectors differently: take a little more, and sum each row alike.
         slack = 1e-9 * (1 + abs(edge[q])) if np.isfinite(edge[q]) else 0.0
-        near = np.flatnonzero((rough[q] >= edge[q] - slack) & np.isfinite(rough[q]))
-        exact = (vectors[near] * queries[q]).sum(axis=1)
+        near = np.flatnonzero((rough[q] >= edge[q] - slack) & fits[q])
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = (vectors[near] * queries[q]).sum(axis=1)
         order = np.lexsort((ids[near], -exact))[:k]
         rows.append(np.full(len(order), q))
         columns.append(near[order])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import bpe, language, lexical, mixing, near, neighbours, pii, rules, shards, substring, urls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,11 +111,27 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+#: The owner of each slot as a character, from the rule that fills the table.
+SHARD_OWNERS = "".join(chr(48 + owner) for owner in shards.lookup_table(SHARDS).tolist())
+SHARDS_SQL = f"""
+WITH digests AS (
+  SELECT doc_id, text, md5(CASE WHEN doc_id IS NULL THEN '-' ELSE '+' || doc_id END) AS digest FROM documents),
+slots AS (
+  SELECT doc_id, text, CAST(('0x' || substr(digest, 1, 12))::BIGINT % {shards.TABLE_SIZE} AS INTEGER) AS slot FROM digests)
+SELECT doc_id, slot, 'shard-' || lpad(CAST(ascii(substr('{SHARD_OWNERS}', slot + 1, 1)) - 48 AS VARCHAR), 3, '0') AS shard,
+       sha256(text) AS text_sha256
+FROM slots
+"""
+
+
+@query(SHARDS_SQL)
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    """The shard of every document."""
-    documents = table(spark, folder, "documents").select("doc_id", "source")
-    return shards.place(documents, ["doc_id"], SHARDS)
+    """Every document as its shard gives it back: whole rows are written to 64 shards and read from there."""
+    placed = shards.place(table(spark, folder, "documents"), ["doc_id"], SHARDS)
+    path = scratch_path(spark, "shards")
+    shards.write(placed, path)
+    found = shards.read(spark, path, placed.schema)
+    return found.select("doc_id", "slot", "shard", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query()

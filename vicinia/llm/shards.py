@@ -4,9 +4,10 @@ Each shard has its own order of preference over the slots: a start and a step
 from its name, which visit every slot, as the size is prime. Shards claim their
 next free slot by turns until the table is full, so their slots differ in number
 by one at most (in proportion with weights), and a shard that leaves gives up its
-own slots while nearly all others stay. A row's slot is a hash of its key, so one
-look into the broadcast table places it. The table is as large as its parameter
-says, whatever the data.
+own slots while nearly all others stay. A row's slot is the first 48 bits of the MD5
+digest of its key, so one look into the broadcast table places it. The table is as large as its parameter
+says, whatever the data. Whole rows are then written, a folder for each shard, and read back from there: rows
+meet those of their shard in tasks of bounded size, of which a large shard gets several.
 
 A hot key would send all its rows to one shard; ``spread`` adds as many bits of
 a second column (such as a row number) as asked for, so that a key's rows share
@@ -23,8 +24,9 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLE_SIZE = 65537
 
@@ -70,7 +72,8 @@ def slot_of(keys: Sequence[Column], size: int = TABLE_SIZE, spread: tuple[Column
     parts = [F.coalesce(F.concat(F.lit("+"), p), F.lit("-")) for p in parts]
     if spread:
         parts.append(F.pmod(F.xxhash64(spread[0]), F.lit(spread[1])).cast("string"))
-    return F.pmod(F.xxhash64(*parts), F.lit(size)).cast("int")
+    digest = F.md5(parts[0]) if len(parts) == 1 else F.md5(F.concat(*[F.md5(p) for p in parts]))
+    return F.pmod(F.conv(F.left(digest, F.lit(12)), 16, 10).cast("bigint"), F.lit(size)).cast("int")
 
 
 def place(
@@ -93,5 +96,11 @@ def place(
 
 
 def write(placed: DataFrame, path: str) -> None:
-    """One folder per shard; a large shard is several files, as every task writes its own."""
-    placed.write.partitionBy("shard").parquet(path)
+    """One folder per shard; a large shard is several files, each of one task of bounded size."""
+    placed.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
+
+
+def read(spark: SparkSession, path: str, schema: T.StructType, shard: str | None = None) -> DataFrame:
+    """What :func:`write` wrote with ``schema``, or one shard of it: no file of another is opened."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if shard is None else rows.where(F.col("shard") == shard)
