@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vicinia.llm import bpe, language, mixing, near, pii
 from vicinia.llm.queries import public_vocabulary
-from vicinia.session import cut, job_tables
+from vicinia.session import cut, cut_counting, job_tables
 
 #: Near copies share at least this percentage of their runs of five words.
 THRESHOLD = 80
@@ -40,7 +40,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     key, text = place["doc_id"], place["text"]
-    rows = rows.withColumn("node", F.xxhash64(key, text))
+    twice = rows.groupBy(F.col(key).alias("twice")).count().where("count > 1").select("twice")
+    twice, seen = cut_counting(twice, n=F.count(F.lit(1)))
+    # An ID of one row names it; other rows are named by a hash, which sorts nowhere in particular.
+    shared = F.col(key).isNull()
+    if seen["n"]:
+        rows = rows.join(twice, F.col(key) == F.col("twice"), "left")
+        shared |= F.col("twice").isNotNull()
+    node = F.when(shared, F.xxhash64(key, text)).otherwise(F.col(key).cast("bigint"))
+    rows = rows.select(*place.values(), shared.alias("shared"), node.alias("node"))
     classes = near.near_duplicates(rows.select("node", F.col(text).alias("text")), row_id="node", threshold=THRESHOLD)
     # Members of classes of one are never looked at again.
     found = cut(classes.where("node <> component_id").select("node", "component_id").distinct())
@@ -50,16 +58,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).getField("node").alias("first")
     )
     losers = linked.join(first, "component_id").where(F.col("node") != F.col("first"))
-    repeated = rows.groupBy("node").count().where("count > 1")
+    repeated = rows.where("shared").groupBy("node").count().where("count > 1")
     fates = cut(
         losers.select("node", F.lit("goes").alias("fate"))
         .unionByName(repeated.select("node", F.lit("repeats").alias("fate")))
         .groupBy("node").agg(F.min("fate").alias("fate"))
     )
     rows = rows.join(fates, "node", "left")
-    once = F.row_number().over(Window.partitionBy("node").orderBy(*[c for c in place.values() if c not in (key, text)]))
-    twice = rows.where("fate = 'repeats'").withColumn("row", once).where("row = 1")
-    kept = rows.where("fate IS NULL").select(*place.values()).unionByName(twice.select(*place.values()))
+    place_of = F.row_number().over(Window.partitionBy("node").orderBy(*[c for c in place.values() if c not in (key, text)]))
+    firsts = rows.where("fate = 'repeats'").withColumn("row", place_of).where("row = 1")
+    kept = rows.where("fate IS NULL").select(*place.values()).unionByName(firsts.select(*place.values()))
     return kept.toDF(*docs.columns)
 
 
