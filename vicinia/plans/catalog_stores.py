@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import embed, hierarchy, incremental, lof, ranking, terms
+from ..operators import embed, hierarchy, incremental, lof, ranking, states, terms
 from ..operators.relevance import Settings
 from ..session import cut, scratch_path
 from ..sources import feeds, layers, tables
@@ -396,3 +396,49 @@ def atom_files(spark: SparkSession, folder: str) -> DataFrame:
         "paper_id", F.md5("abstract").alias("abstract_digest"), F.array_join("authors", "|").alias("authors"),
         "url", "is_update", F.array_join("categories", "|").alias("categories"),
     )
+
+
+# ---- states of mean vectors ----------------------------------------------------------
+
+
+def _shelved(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors with the source and language of their documents."""
+    docs = given.table(spark, folder, "documents").select(F.col("doc_id").alias("paper_id"), "source", "lang")
+    return given.vectors(spark, folder).join(docs, "paper_id").select("source", "lang", "embedding")
+
+
+def _by_place(found: DataFrame, *keys: str) -> DataFrame:
+    long = states.means(found).select(*keys, "n", F.posexplode("mean").alias("pos", "mean"))
+    return long.withColumn("mean", F.round("mean", 9))
+
+
+_SQL_SHELVED = """
+shelved AS (
+  SELECT source, lang, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos, unnest(embedding)::DOUBLE AS x
+  FROM embeddings JOIN documents ON doc_id = vec_id)"""
+
+
+@query(
+    f"""
+WITH {_SQL_SHELVED}
+SELECT source, lang, GROUPING(source, lang)::INTEGER AS level, pos, count(*) AS n, round(avg(x), 9) AS mean
+FROM shelved GROUP BY GROUPING SETS ((source, lang, pos), (source, pos), (lang, pos), (pos))"""
+)
+def centroids_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean vectors by source and language, by each of them, and of all: coarse ones from fine ones."""
+    return _by_place(states.cube(_shelved(spark, folder), ["source", "lang"], 64), "source", "lang", "level")
+
+
+@query(
+    f"""
+WITH {_SQL_SHELVED}
+SELECT source, pos, count(*) AS n, round(avg(x), 9) AS mean FROM shelved
+WHERE lang IS DISTINCT FROM 'es' GROUP BY source, pos"""
+)
+def centroids_after_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean vectors by source of a library without English documents, after these came and the Spanish went."""
+    rows, keys = _shelved(spark, folder), ["source"]
+    english, spanish = F.coalesce(F.col("lang") == "en", F.lit(False)), F.coalesce(F.col("lang") == "es", F.lit(False))
+    stored = cut(states.states(rows.where(~english), keys, 64))
+    came, went = (states.states(rows.where(c), keys, 64) for c in (english, spanish))
+    return _by_place(states.changed(stored, came, went, keys), "source")
