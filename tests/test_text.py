@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinia.functions import text
 from vicinia.operators import terms
+from vicinia.operators.relevance import Settings
 
 
 def one(spark, **columns):
@@ -92,9 +95,13 @@ def test_embedding_text(spark):
     assert got["blank_title"] is True
 
 
-def test_configured_terms():
-    assert text.configured(("\tLICHEN moss\n", 7.5, " ", None, "ÄHRE")) == ["lichen moss", "7.5", "none", "ähre"]
-    assert text.configured("lichen") == text.configured(()) == []
+def test_settings_are_folded(spark):
+    given = Settings(always_include_terms=("\tLICHEN moss\n", 7.5, " ", None, "ÄHRE"), excluded_collections="lichen")
+    got = one(spark, **{f"t{k}": text.folded(term) for k, term in enumerate(given.terms)})
+    assert list(got.values()) == ["lichen moss", "7.5", None, "none", "ähre"]
+    assert given.excluded_names == () and Settings(always_include_terms="lichen").terms == ()
+    got = one(spark, hit=text.excluded_name(F.lit(" Moss "), [" ", "MOSS"]), blank=text.excluded_name(F.lit(None), [" "]))
+    assert got == {"hit": True, "blank": False}
 
 
 def test_matched_terms_keep_order_and_match_inside_words(spark):
@@ -119,6 +126,24 @@ def test_terms_as_a_table_match_like_the_expression(spark, few, monkeypatch):
     table = spark.createDataFrame(list(enumerate(listed)), "ord bigint, term string")
     got = {r.id: r.matched_terms for r in terms.match(rows, table, few=few).collect()}
     assert got == {1: ["root", "oo", "tree", "é"], 2: ["tree"], 3: [], 4: []}
+    monkeypatch.setattr(terms, "BROADCAST_CHARACTERS", 0)
+    again = terms.match(rows.withColumn("matched_terms", F.lit("old")), table, few=few).collect()
+    assert {r.id: r.matched_terms for r in again} == got
+
+
+def test_many_random_terms(spark):
+    dice = random.Random(3)
+    listed = sorted({"".join(dice.choices("abé ", k=dice.randint(1, 6))) for _ in range(120)})
+    titles = ["".join(dice.choices("abé \n", k=dice.randint(0, 40))) for _ in range(40)]
+    rows = spark.createDataFrame(
+        [(k, t if k % 7 else None, titles[k // 2]) for k, t in enumerate(titles)], "id int, title string, abstract string"
+    )
+    table = spark.createDataFrame(list(enumerate(listed)), "ord bigint, term string")
+    got = {r.id: r.matched_terms for r in terms.match(rows, table).collect()}
+    folded = list(dict.fromkeys(t for term in listed if (t := term.strip())))
+    for r in rows.collect():
+        seen = f"{r.title or ''}\n{r.abstract or ''}"
+        assert got[r.id] == [t for t in folded if t in seen]
 
 
 def test_creator_names(spark):

@@ -173,14 +173,9 @@ def title_or_id(title: Column | str, key: Column | str) -> Column:
 # ---- terms ----------------------------------------------------------------
 
 
-def configured(values: Iterable[object]) -> list[str]:
-    """Settings values as terms: text without outer blanks, in lower case, without empty ones.
-
-    A single text where a list was meant configures nothing.
-    """
-    if isinstance(values, str):
-        return []
-    return [term for value in values if (term := f"{value}".lower().strip())]
+def folded(value: object) -> Column:
+    """A setting as the text that is looked for: null if it is blank. Catalyst folds it into a constant."""
+    return not_empty(F.lower(strip(F.lit(str(value)))))
 
 
 def haystack(title: Column | str, abstract: Column | str) -> Column:
@@ -193,15 +188,15 @@ def string_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def matched_terms(title: Column | str, abstract: Column | str, terms: Sequence[str]) -> Column:
-    """Terms that occur anywhere in title or abstract, in configured order."""
+def matched_terms(title: Column | str, abstract: Column | str, terms: Sequence[object]) -> Column:
+    """Terms, folded, that occur anywhere in title or abstract, in their order; blank ones never do."""
     if not terms:
         return string_array([])
     searched = haystack(title, abstract)
-    hits = [F.when(F.contains(searched, F.lit(term)), F.lit(term)) for term in terms]
+    hits = [F.when(F.contains(searched, folded(term)), folded(term)) for term in terms]
     # Joined and split again, not filtered as an array: array lambdas leave
     # generated code, and the haystack would be built once per term.
-    mark = next(c for c in map(chr, range(1, 9)) if not any(c in term for term in terms))
+    mark = next(c for c in map(chr, range(1, 9)) if not any(c in str(term) for term in terms))
     joined = F.concat_ws(mark, *hits)
     return F.when(joined == "", string_array([])).otherwise(F.split(joined, mark))
 
@@ -231,4 +226,5 @@ def section(is_update_flag: Column | str) -> Column:
 
 def excluded_name(name: Column | str, excluded: Sequence[str]) -> Column:
     """The collection name, trimmed and lower-cased, is one of ``excluded``."""
-    return strip(F.lower(F.coalesce(_col(name), F.lit("")))).isin(*configured(excluded))
+    own = strip(F.lower(F.coalesce(_col(name), F.lit(""))))
+    return F.coalesce(own.isin(*[folded(other) for other in excluded]), F.lit(False))

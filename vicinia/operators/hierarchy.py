@@ -155,7 +155,7 @@ def collection_paths(collections: DataFrame | Tree) -> DataFrame:
 def excluded_collections(collections: DataFrame | Tree, names: Sequence[str]) -> DataFrame:
     """``key`` of each collection whose own name or an ancestor's is one of ``names``."""
     tree = stored_tree(collections)
-    if not text.configured(names):
+    if not names:
         return tree.linked.select("key").where(F.lit(False))
     hit = text.excluded_name("name", names)
     nodes = tree.linked.select("key", F.when(~hit, F.col("up")).alias("up"), hit.alias("hit"))

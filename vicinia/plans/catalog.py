@@ -521,7 +521,7 @@ SELECT doc_id AS paper_id, array_to_string({SQL_TERMS}, '|') AS terms,
 )
 def term_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Configured terms found in each document, in their order."""
-    terms = tx.matched_terms("title", "abstract", tx.configured(TERMS))
+    terms = tx.matched_terms("title", "abstract", TERMS)
     return given.papers(spark, folder).select(
         "paper_id", F.array_join(terms, "|").alias("terms"), (F.size(terms) > 0).alias("forced")
     )
@@ -890,7 +890,7 @@ def _arrivals_judged(spark: SparkSession, folder: str, digits: int = 6) -> DataF
     feed = given.feed(spark, folder)
     rows = scores.withColumn("paper_id", F.col("query_id").cast("string")).join(feed, "paper_id")
     rows = rows.withColumn(
-        "matched_terms", tx.matched_terms("title", "abstract", tx.configured(TERMS))
+        "matched_terms", tx.matched_terms("title", "abstract", TERMS)
     )
     return relevance.judge(rows, VECTOR_THRESHOLD).withColumn("max_similarity", F.col("score"))
 
@@ -958,7 +958,7 @@ def missing_forced(spark: SparkSession, folder: str) -> DataFrame:
     """Term-matching documents that relevance alone would leave out."""
     relevant = _arrivals_judged(spark, folder).where("is_relevant").select("paper_id")
     missing = relevance.missing_forced(
-        given.feed(spark, folder), relevant, tx.configured(TERMS)
+        given.feed(spark, folder), relevant, TERMS
     )
     return missing.select("paper_id", F.array_join("matched_terms", "|").alias("terms"))
 
@@ -977,7 +977,7 @@ def complete_forced(spark: SparkSession, folder: str) -> DataFrame:
     relevant = _arrivals_judged(spark, folder).where("is_relevant")
     items = relevant.select("paper_id", "max_similarity", "ord")
     full = relevance.complete_forced(
-        given.feed(spark, folder), items, tx.configured(TERMS)
+        given.feed(spark, folder), items, TERMS
     )
     return full.select("paper_id", "max_similarity")
 

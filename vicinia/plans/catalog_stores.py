@@ -74,17 +74,16 @@ terms AS (
 WITH {catalog.SQL_PAPERS}, {SQL_TERM_TABLE},
 hits AS (SELECT doc_id, string_agg(term, ' ' ORDER BY ord) AS found, count(*) AS n
          FROM papers JOIN terms ON contains(lower(title || chr(10) || abstract), term)
-         WHERE length(term) >= 7 GROUP BY doc_id)
+         GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_terms, md5(coalesce(found, '')) AS terms_digest
 FROM papers LEFT JOIN hits USING (doc_id)"""
 )
 def term_table_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """The longer words of all benchmark passages as terms, looked for in all documents."""
+    """All words of all benchmark passages as terms, looked for in all documents."""
     words = given.table(spark, folder, "benchmark").select(
         "item_id", F.posexplode(F.filter(F.split("text", "[ \t\n\r]+"), lambda x: x != "")).alias("i", "term")
     )
     listed = words.select((F.col("item_id") * 100000 + F.col("i")).alias("ord"), "term")
-    listed = listed.where(F.length("term") >= 7)
     found = terms.match(given.papers(spark, folder), listed)
     return found.select(
         F.col("paper_id").alias("doc_id"), F.size("matched_terms").cast("bigint").alias("n_terms"),
