@@ -103,6 +103,59 @@ def test_near_chains_of_copies(spark):
     assert got == brute_near(rows, 85)
 
 
+def template(dice, n, length):
+    """Texts of one form, in which every fifth word is one of two, and the ends differ."""
+    form = prose(dice, length, 10_000).split()
+    texts = []
+    for _ in range(n):
+        words = [w if k % 5 else f"{w}{dice.randrange(2)}" for k, w in enumerate(form)]
+        texts.append(" ".join(words[: dice.randrange(length * 2 // 3, length + 1)]))
+    return texts
+
+
+def test_near_lists_of_many_blocks(spark, monkeypatch):
+    """Lists of many times the size of a block lose no link."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    dice = random.Random(21)
+    texts = template(dice, 90, 60)
+    # Nearly equal ones of several stems, linked with each other but not with the first of their lists.
+    for stem in texts[:12]:
+        for _ in range(6):
+            words = stem.split()
+            words[dice.randrange(len(words))] = f"x{dice.randrange(9)}"
+            texts.append(" ".join(words))
+    for threshold in (60, 85):
+        got = near_rows(near.near_duplicates(docs_of(spark, texts), threshold=threshold))
+        assert got == brute_near(list(enumerate(texts)), threshold)
+
+
+def test_near_block_pairs_are_bounded_and_complete(spark, monkeypatch):
+    """Every pair that sizes allow meets once, outside the commonest component; no group grows with its list."""
+    monkeypatch.setattr(near, "BLOCK", 16)
+    dice = random.Random(4)
+    rows = [(v, i, dice.choice([1, 1, 1, 2, 3, 4 + i]), dice.randrange(20, 60)) for v, n in ((7, 600), (8, 12)) for i in range(n)]
+    labelled = spark.createDataFrame(rows, "value long, id long, component long, n long")
+    groups = {}
+    for r in near.block_pairs(labelled, 85).collect():
+        groups.setdefault((r.value, r.block), []).append(r)
+    assert max(len(g) for g in groups.values()) <= 4 * 16
+    met = []
+    for (value, _), group in groups.items():
+        for a in group:
+            for b in group:
+                ordered = a.side != near.RIGHT and b.side != near.LEFT
+                if ordered and a.id != b.id and not (a.side == b.side == near.BOTH and a.id > b.id):
+                    met.append((value, min(a.id, b.id), max(a.id, b.id)))
+    assert len(met) == len(set(met))
+    main = {v: max({1, 2, 3}, key=lambda c: sum(r[0] == v and r[2] == c for r in rows)) for v in (7, 8)}
+    wanted = {
+        (a[0], a[1], b[1]) for a in rows for b in rows
+        if a[0] == b[0] and a[1] < b[1] and not a[2] == b[2] == main[a[0]] and 100 * min(a[3], b[3]) >= 85 * max(a[3], b[3])
+    }
+    assert wanted <= set(met)
+    assert len([m for m in met if m[0] == 7]) < 600 * 599 // 2
+
+
 def test_near_nulls_and_repeats(spark):
     copy = "a b c d e f g h"
     df = docs_of(spark, [copy, copy, copy, None], ids=[None, 5, 5, None])

@@ -14,8 +14,8 @@ are the components of the links.
    values that nobody else retained use up their places without one.
 3. In each list, all documents are compared with the first.
 4. Only lists that still hold several components go on: their documents outside
-   the commonest component are compared, in blocks, with those of other
-   components. Overlaps of longer sketches (small sets are compared whole)
+   the commonest component are compared with those of other components, in pairs
+   of blocks of bounded size whose sets are of sizes that may be linked. Overlaps of longer sketches (small sets are compared whole)
    estimate the similarity from the union sketch; what may reach the threshold,
    and nothing else, leaves the block, and only that of the first list that two
    documents share.
@@ -27,8 +27,8 @@ the estimate.
 
 Defined results: a null text, or one without words, has the empty set, is linked
 with nothing, and is its own class; with fewer words than ``size``, the whole
-sequence is the one run; rows of equal ID are one node, which the largest of their
-sets stands for where they differ; a null ID is an ID like
+sequence is the one run; rows of equal ID are one node with the links of all their
+texts; a null ID is an ID like
 any other, smaller than all; an empty table gives an empty result. IDs are
 integers. Only the named columns are read.
 """
@@ -55,7 +55,7 @@ WHOLE = 256
 LONG_SKETCH = 128
 #: Standard deviations below the expected overlap that a sketch may fall.
 MARGIN = 5.5
-#: Documents of a block.
+#: Documents of a block, about.
 BLOCK = 512
 #: IDs that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
@@ -229,16 +229,78 @@ def compare(block: list, batch: list, value: int, threshold: int) -> list[tuple[
     return out
 
 
-def _blocks(threshold: int):
-    """Pairs of blocks: rows sorted by list and block, the block's own rows first."""
+#: Sides of a pair of blocks.
+LEFT, BOTH, RIGHT = 0, 1, 2
+
+
+def block_pairs(labelled: DataFrame, threshold: int) -> DataFrame:
+    """``(value, block, side, id, component, n)``: the rows of each pair of blocks to be compared.
+
+    ``labelled`` has ``(value, id, component, n)``. Only lists of several components are left, and of those no pair of
+    blocks within the commonest component. A list of up to ``BLOCK`` rows is one block, compared with itself. A longer
+    one is dealt by size, in steps so wide that linked documents lie in the same step or in neighbours, and by hash into
+    blocks of about ``BLOCK`` rows; each pair of blocks that sizes allow is a group of its own, in which every block
+    stands once. So no group has many more than ``2 * BLOCK`` rows, however long its list.
+    """
+    counted = labelled.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
+    lists = cut(
+        counted.groupBy("value")
+        .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+        .where("all > most")
+        .select("value", "main", "all")
+    )
+    # A little wider, so that rounding puts no linked sizes two steps apart.
+    width = 1.001 * max(0.01, math.log(100 / threshold))
+    rows = labelled.join(lists, "value").withColumns(
+        {"other": F.col("component") != F.col("main"), "step": F.floor(F.log("n") / width)}
+    )
+    cells = cut(
+        rows.where(F.col("all") > BLOCK)
+        .groupBy("value", "other", "step")
+        .agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    )
+    met = cells.select("value", F.col("step").alias("at"), F.struct("step", "other", "blocks").alias("met"))
+    partners = (
+        cells.withColumn("at", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])))
+        .join(met, ["value", "at"])
+        .where("other OR met.other")
+        .groupBy("value", "other", "step", "blocks")
+        .agg(F.collect_list("met").alias("partners"))
+    )
+    rows = rows.join(partners, ["value", "other", "step"], "left")
+    # Blocks of the commonest component that meet no others are done.
+    rows = rows.where((F.col("all") <= BLOCK) | F.col("partners").isNotNull())
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).select("*", F.explode_outer("partners").alias("met"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("met.blocks"), F.lit(1)) - 1)
+    rows = rows.withColumn("number", F.explode(numbers))
+    mine, theirs = F.struct("step", "own"), F.struct("met.step", F.col("number").alias("own"))
+    side = (
+        F.when(F.col("met").isNull(), F.when(F.col("other"), BOTH).otherwise(RIGHT))
+        .when(~F.col("other"), RIGHT)
+        .when(~F.col("met.other") | (mine < theirs), LEFT)
+        .when(mine == theirs, BOTH)
+        .otherwise(RIGHT)
+    )
+    first = F.struct("step", "own", "other")
+    second = F.struct("met.step", F.col("number").alias("own"), "met.other")
+    # Equal hashes would only put two groups together.
+    block = F.when(F.col("met").isNull(), F.lit(0).cast("bigint")).otherwise(
+        F.when(F.col("side") == RIGHT, F.xxhash64(second, first)).otherwise(F.xxhash64(first, second))
+    )
+    return rows.withColumn("side", side).select("value", block.alias("block"), "side", "id", "component", "n")
+
+
+def _compared(threshold: int):
+    """Pairs of blocks: rows sorted by list, block and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, block, batch = None, [], []
+        place, left, right = None, [], []
         found: set[tuple[int, int]] = set()
 
         def work() -> None:
-            if block and batch:
-                found.update((max(p), min(p)) for p in compare(block, batch, place[0], threshold))
+            for first in range(0, len(right) if left else 0, BLOCK):
+                pairs = compare(left, right[first : first + BLOCK], place[0], threshold)
+                found.update((max(p), min(p)) for p in pairs)
 
         def result() -> pa.RecordBatch:
             pairs = sorted(found)
@@ -248,21 +310,21 @@ def _blocks(threshold: int):
             )
 
         for rows in batches:
-            columns = [rows.column(c).to_pylist() for c in ("value", "block", "mine", "id", "component", "n")]
-            for value, number, mine, id_, component, count, sketch, listed in zip(
+            columns = [rows.column(c).to_pylist() for c in ("value", "block", "side", "id", "component", "n")]
+            for value, number, side, id_, component, count, sketch, listed in zip(
                 *columns, rows.column("sketch"), rows.column("listed"), strict=True
             ):
                 if (value, number) != place:
                     work()
-                    place, block, batch = (value, number), [], []
+                    place, left, right = (value, number), [], []
                 row = (
                     id_, component, count, np.frombuffer(sketch.as_buffer(), "<u8").copy(),
                     listed.values.to_numpy(),
                 )
-                (block if mine else batch).append(row)
-                if len(batch) >= BLOCK:
-                    work()
-                    batch = []
+                if side != RIGHT:
+                    left.append(row)
+                if side != LEFT:
+                    right.append(row)
             yield result()
         work()
         yield result()
@@ -337,32 +399,12 @@ def near_duplicates(
     labelled = cut(
         lists.join(parts, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
     )
-    mixed = (
-        labelled.groupBy("value", "component")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("value")
-        .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-        .where("all > most")
-        .select("value", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("blocks"))
-    )
-    rows = labelled.join(mixed, "value")
-    sides = F.array(
-        F.when(F.col("component") != F.col("main"), F.struct(F.lit(True).alias("mine"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))),
-        F.struct(F.lit(False).alias("mine"), F.lit(None).cast("bigint").alias("block")),
-    )
-    rows = rows.select("value", "id", "component", "n", "blocks", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("side"))
-    rows = rows.select(
-        "value", "id", "component", "n", "side.mine",
-        F.explode(
-            F.when(F.col("side.mine"), F.array("side.block")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-        ).alias("block"),
-    )
     length = F.when(F.col("n") <= WHOLE, F.col("n")).otherwise(F.lit(LONG_SKETCH))
     short = sets.select("id", F.substring(F.col("hashes"), F.lit(1), (8 * length).cast("int")).alias("sketch"))
     short = short.join(listed.select("id", "listed"), "id")
-    rows = rows.join(short, "id").repartition("value", "block")
-    rows = rows.sortWithinPartitions("value", "block", F.col("mine").desc())
-    more = rows.mapInArrow(_blocks(threshold), "a bigint, b bigint").distinct()
+    rows = block_pairs(labelled, threshold).join(short, "id").repartition("value", "block")
+    rows = rows.sortWithinPartitions("value", "block", "side")
+    more = rows.mapInArrow(_compared(threshold), "a bigint, b bigint").distinct()
     more = cut(confirmed(more, sets, threshold))
     if not more.isEmpty():
         parts = cut(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
