@@ -39,6 +39,8 @@ from .arrays import text_slices
 UNDETERMINED = "und"
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
+#: Bytes of text worked on at once; its arrays take some 60 times as much.
+SLICE = 1 << 19
 DIMENSION = 16
 SAMPLE_PER_LANGUAGE = 800
 #: With many languages, fewer rows of each: so many in all, about.
@@ -174,7 +176,7 @@ def sample(df: DataFrame, text: str, label: str, row_id: str, per_language: int,
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch.column(0)):
+            for first, last, data, offsets in text_slices(batch.column(0), SLICE):
                 found = []
                 for a, b in zip(offsets, offsets[1:], strict=False):
                     own = np.concatenate([[32], data[a:b], [32]]).astype(np.uint8)
@@ -253,7 +255,7 @@ def predict(
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch.column(at)):
+            for first, last, data, offsets in text_slices(batch.column(at), SLICE):
                 if model.languages:
                     best, scores, lettered = predict_slice(model, data, offsets)
                 else:

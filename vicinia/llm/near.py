@@ -60,6 +60,8 @@ BLOCK = 512
 #: IDs that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 NO_ID = -(1 << 63)
+#: Bytes of text worked on at once.
+SLICE = 1 << 19
 _U = np.uint64
 
 
@@ -84,7 +86,7 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    for first, last, data, offsets in text_slices(batch.column(0)):
+    for first, last, data, offsets in text_slices(batch.column(0), SLICE):
         starts, ends, rows = find_words(data, offsets)
         words = hash_words(data, starts, ends, lower=True)
         for k in range(last - first):
