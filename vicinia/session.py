@@ -54,10 +54,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 _SHIPPED: set[str] = set()
 
+#: What bounds the batches that Python workers get by bytes, as 10,000 rows may be texts of any length.
+_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application.
+
+    Where the session does not bound the bytes of an Arrow batch, they are bound here.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_BYTES[0], None) is None:
+        spark.conf.set(*_BATCH_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
