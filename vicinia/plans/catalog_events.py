@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ordered
+from ..operators import intervals, ordered, quantiles
 from . import given
 from .catalog import query
 
@@ -110,3 +110,63 @@ def account_balance(spark: SparkSession, folder: str) -> DataFrame:
     cents = F.round(F.col("value") * 10000).cast("bigint")
     found = ordered.running_total(events, ["account"], ["ts", "event_id"], {"total": cents})
     return found.select("event_id", "account", F.round(F.col("total") / 10000, 4).alias("total"))
+
+
+#: Events are seen as of so many years before, when orders were made.
+YEARS = 25
+BAND = 0.05
+SHARES = (0.0, 0.05, 0.5, 0.95, 1.0)
+
+
+@query(
+    f"""
+WITH {SQL_ACCOUNTS},
+open AS (
+  SELECT o_orderkey, o_custkey - 1 AS account, o_orderdate AS since, max(l_shipdate) AS until
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT event_id, a.account, o_orderkey FROM accounts a JOIN open o
+  ON a.account = o.account AND a.ts - INTERVAL {YEARS} YEARS BETWEEN since AND until"""
+)
+def orders_open_at_event(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of an account that were made, but not wholly shipped, at the time of each of its events."""
+    events = accounts(spark, folder).select(
+        "event_id", "account", (F.col("ts") - F.expr(f"INTERVAL {YEARS} YEARS")).alias("at")
+    )
+    shipped = given.table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("until"))
+    orders = given.table(spark, folder, "orders").join(shipped, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "o_orderkey", (F.col("o_custkey") - 1).alias("account"), F.col("o_orderdate").alias("since"), "until"
+    )
+    found = intervals.interval_join(events, orders, ["account"], "at", "since", "until")
+    return found.select("point.event_id", "point.account", "interval.o_orderkey")
+
+
+@query(
+    f"""
+WITH {SQL_ACCOUNTS}
+SELECT c.event_id AS click_id, v.event_id AS view_id, c.account FROM accounts c JOIN accounts v
+  ON c.account = v.account AND c.event_type = 'click' AND v.event_type = 'view'
+     AND c.value BETWEEN v.value - {BAND}::DOUBLE AND v.value + {BAND}::DOUBLE"""
+)
+def close_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Clicks and views of an account with about the same value."""
+    events = accounts(spark, folder).select("event_id", "account", "value", "event_type")
+    kinds = [events.where(F.col("event_type") == kind).drop("event_type") for kind in ("click", "view")]
+    found = intervals.band_join(*kinds, ["account"], "value", BAND)
+    return found.select(
+        F.col("left.event_id").alias("click_id"), F.col("right.event_id").alias("view_id"), "left.account"
+    )
+
+
+@query(
+    f"""
+WITH {SQL_ACCOUNTS},
+found AS (SELECT account, list_sort(list(value)) AS own FROM accounts WHERE value IS NOT NULL GROUP BY account),
+asked AS (SELECT account, own, share, share * (len(own) - 1) AS place
+          FROM found, (SELECT unnest([{", ".join(f"{s}::DOUBLE" for s in SHARES)}]) AS share))
+SELECT account, share, round(own[CAST(floor(place) AS BIGINT) + 1] * (1 - (place - floor(place)))
+  + own[CAST(ceil(place) AS BIGINT) + 1] * (place - floor(place)), 6) AS quantile FROM asked"""
+)
+def score_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles of the values of each account."""
+    found = quantiles.quantiles(accounts(spark, folder), ["account"], "value", SHARES)
+    return found.withColumn("quantile", F.round("quantile", 6))
