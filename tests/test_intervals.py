@@ -108,3 +108,19 @@ def test_quantiles(spark, bins):
     assert quantiles.quantiles(empty, ["g"], "v", shares).count() == 0
     whole = quantiles.quantiles(spark.createDataFrame([(float(k),) for k in range(101)], "v double"), [], "v", [0.25])
     assert [tuple(r) for r in whole.collect()] == [(0.25, 25.0)]
+
+
+def test_sketches_merge_and_keep_close(spark):
+    dice = random.Random(5)
+    rows = [(k % 7, "hot", dice.gauss(0, 5) ** 3) for k in range(20_000)] + [(0, None, 2.0), (1, None, 2.0), (1, "none", None), (1, "none", NAN)]
+    df = spark.createDataFrame(rows, "day int, g string, v double").repartition(5)
+    parts = quantiles.sketches(df, ["g", "day"], "v")
+    again = quantiles.merged_sketches(parts.where("day < 3").unionByName(parts.where("day >= 3")), ["g"])
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["share"]): (r["n"], r["quantile"]) for r in quantiles.sketched_quantiles(again, ["g"], shares).collect()}
+    assert got.keys() == {(g, s) for g in ("hot", None) for s in shares}
+    own = sorted(v for _, g, v in rows if g == "hot")
+    for share in shares:
+        n, value = got["hot", share]
+        rank = sum(v <= value for v in own) / len(own)
+        assert n == len(own) and abs(rank - share) <= 0.02 and got[None, share] == (2, 2.0)

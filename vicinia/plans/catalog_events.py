@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import intervals, ordered, quantiles
+from ..session import cut
 from . import given
 from .catalog import query
 
@@ -170,3 +171,29 @@ def score_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """Quantiles of the values of each account."""
     found = quantiles.quantiles(accounts(spark, folder), ["account"], "value", SHARES)
     return found.withColumn("quantile", F.round("quantile", 6))
+
+
+RANK_ERROR = 0.02
+
+
+@query(
+    f"""
+WITH {SQL_ACCOUNTS}
+SELECT account, count(value) AS n, share, true AS close
+FROM accounts, (SELECT unnest([{", ".join(f"{s}::DOUBLE" for s in SHARES)}]) AS share) GROUP BY account, share HAVING count(value) > 0"""
+)
+def sketched_account_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles of accounts from stored sketches of their days, and whether their true ranks are close to those asked for."""
+    events = accounts(spark, folder).select("account", F.to_date("ts").alias("day"), "value")
+    stored = cut(quantiles.sketches(events, ["account", "day"], "value"))
+    found = cut(quantiles.sketched_quantiles(quantiles.merged_sketches(stored, ["account"]), ["account"], SHARES))
+    # A few rows per account.
+    asked = found.groupBy("account", "n").agg(F.collect_list(F.struct("share", "quantile")).alias("asked"))
+    rows = events.join(asked, "account").select("account", "n", "value", F.explode("asked").alias("a"))
+    ranks = rows.groupBy("account", "n", F.col("a.share").alias("share")).agg(
+        F.count_if(F.col("value") < F.col("a.quantile")).alias("below"),
+        F.count_if(F.col("value") <= F.col("a.quantile")).alias("upto"),
+    )
+    slack = F.lit(RANK_ERROR) * F.col("n") + 1
+    at = F.col("share") * F.col("n")
+    return ranks.select("account", "n", "share", ((F.col("below") <= at + slack) & (F.col("upto") >= at - slack)).alias("close"))
