@@ -88,3 +88,16 @@ def test_settings_are_given_back(spark, landed):
     before = spark.conf.get(name)
     landed(lambda s, o, p: ev.last_values(s, "user_id", "ts", "event_id", "value", 1, "1 HOUR", "1 HOUR", o, p), [(1, 1, 0, 1.0)])
     assert spark.conf.get(name) == before
+
+
+def test_tables_are_streamed_as_a_file_or_a_folder(spark, tmp_path):
+    from vicinia.plans import given
+
+    spark.range(10).repartition(2).write.parquet(f"{tmp_path}/folder/t.parquet")
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/written")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "file" / "t.parquet")
+    for folder in ("folder", "file"):
+        query = given.stream(spark, f"{tmp_path}/{folder}", "t").writeStream.format("memory").queryName(folder)
+        query.trigger(availableNow=True).start().awaitTermination()
+        assert spark.table(folder).count() == 10

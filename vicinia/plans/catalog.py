@@ -1219,10 +1219,7 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, read as a stream, against the library of benchmark passages."""
     settings = Settings(threshold=PASSAGE_THRESHOLD, source="given", score_digits=6)
     _, snapshot = _benchmark_snapshot(spark, folder, settings)
-    schema = given.table(spark, folder, "documents").schema
-    arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
-    )
+    arriving = given.stream(spark, folder, "documents")
     feed = arriving.select(
         F.col("doc_id").cast("string").alias("paper_id"),
         F.lit("").alias("title"),

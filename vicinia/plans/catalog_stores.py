@@ -335,10 +335,7 @@ FROM h_count GROUP BY key"""
 )
 def stream_embed(spark: SparkSession, folder: str) -> DataFrame:
     """All documents arrive as a stream and are stored with their vectors."""
-    schema = given.table(spark, folder, "documents").schema
-    arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
-    )
+    arriving = given.stream(spark, folder, "documents")
     papers = arriving.select(
         F.col("doc_id").cast("string").alias("id"), F.lit("given").alias("source"),
         tx.first_line("text").alias("title"), tx.string_array([]).alias("authors"),

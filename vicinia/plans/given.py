@@ -12,6 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files."""
+    schema = table(spark, folder, name).schema
+    # A stream takes a plain path for a folder; a pattern may also be met by a file.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors as a library."""
     return table(spark, folder, "embeddings").select(
