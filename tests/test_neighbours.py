@@ -264,3 +264,25 @@ def test_nearest_collection_takes_the_first_of_equals(spark):
 def test_mean_similarity(spark):
     lib = library(spark, [("l", [0.0, 1.0]), ("m", [1.0, 0.0])])
     assert lof.mean_similarity(queries(spark, [1.0, 0.0]), lib).first().mean_similarity == pytest.approx(0.5)
+
+
+def test_cells_shuffle_no_vector_to_the_cells_it_visits(spark):
+    data = np.random.default_rng(2).normal(size=(120, 8))
+    got = knn(as_queries(spark, data), as_library(spark, data), 3, strategy="cells", block_rows=20)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    assert_same(found(got), brute(data, data, 3))
+
+
+def test_running_lists_keep_ties_by_place_within_a_bound():
+    from vicinia.operators import knn as plans
+
+    rng = np.random.default_rng(4)
+    data = unit(rng.integers(0, 2, (90, 4)).astype(float) + [1.0, 0, 0, 0])
+    want = brute(data, data, 5)
+    bound = np.array([want[str(i), 5][1] for i in range(90)])
+    for start in (np.full(90, 2.0), bound):
+        lists = plans._Lists(data, start, 5)
+        for places in np.split(rng.permutation(90), 6):
+            lists.meet(data[np.sort(places)], np.sort(places), np.arange(90))
+        assert [[str(p) for p in row] for row in lists.places] == [[want[str(i), r][0] for r in range(1, 6)] for i in range(90)]
