@@ -182,3 +182,19 @@ def test_small_helpers(spark):
     assert got["title"] == "id"
     assert got["exact"] == "x" * 300 and got["longer"] == "x" * 300 + "…"
     assert got["card"] == "y" * 400 + "..."
+
+
+def test_a_table_of_terms_is_searched_in_words_once(spark, monkeypatch):
+    """Spaces of any kind, parts inside words, short parts, and runs made for each distinct word only."""
+    texts = ["Alpha  beta gammas\tdelta", "xalphax be\nta ab cd", "alpha beta gamma", "a b c", "", None] + ["same words again"] * 3
+    rows = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "id int, title string, abstract string")
+    listed = ["ALPHA", "beta gamma", "gammas\tdelta", "ab cd", "a b", "b", "lph", "words", "e w", "beta  gamma", "gone"]
+    table = spark.createDataFrame(list(enumerate(listed)), "ord long, term string")
+    got = {r.id: r.matched_terms for r in terms.match(rows, table, few=0).collect()}
+    assert got == {r.id: r.matched_terms for r in terms.match(rows, table, few=99).collect()}
+    assert got[0] == ["alpha", "beta gamma", "gammas\tdelta", "b", "lph"] and got[1] == ["alpha", "ab cd", "b", "lph"]
+    written, cut = [], terms.cut
+    monkeypatch.setattr(terms, "cut", lambda df: written.append(cut(df)) or written[-1])
+    terms.match(rows, table, few=0)
+    # No anchor is looked for in whole texts: the words of all texts are stored once.
+    assert any(t.columns == ["word"] and t.count() == len({w for x in texts if x for w in x.lower().split()} | {""}) for t in written)
