@@ -101,3 +101,19 @@ def test_tables_are_streamed_as_a_file_or_a_folder(spark, tmp_path):
         query = given.stream(spark, f"{tmp_path}/{folder}", "t").writeStream.format("memory").queryName(folder)
         query.trigger(availableNow=True).start().awaitTermination()
         assert spark.table(folder).count() == 10
+
+
+def test_last_values_of_many_keys_share_a_state(spark, landed):
+    def start(stream, out, progress):
+        return ev.last_values(
+            stream, "user_id", "ts", "event_id", "value", 2, "5 HOURS", "1 HOUR", out, progress, parts=1, buckets=1
+        )
+
+    first = [(10 * u + j, u, u / 2 + j / 10, float(j)) for u in range(30) for j in range(3)]
+    out = landed(start, first, [(900, 3, 2.0, 9.0), (901, 77, 15.0, 5.0)])
+    got = {(r.key, r["rank"]): r.id for r in ev.read_last_values(spark, out, 2).collect()}
+    assert spark.read.parquet(out).select("part").distinct().count() == 1
+    # The watermark goes from 13:42 to 14:00: keys whose newest row is five hours older are gone.
+    keys = {key for key, _ in got}
+    assert keys >= {*range(18, 30), 77} and not keys & {*range(17)}
+    assert got[29, 1] == 292 and got[29, 2] == 291 and got[77, 1] == 901

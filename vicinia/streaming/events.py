@@ -134,38 +134,69 @@ def session_stream(
 
 
 class LastValues(StatefulProcessor):
-    """The last ``keep`` events of a key as list state, emptied by a timer once the newest is ``life`` behind the watermark."""
+    """The last ``keep`` events of each key of a bucket as one state; a timer drops those ``life`` behind the watermark.
+
+    A bucket holds many keys, so that a batch costs calls per bucket, not per key.
+    """
+
+    KIND = "key string, micros bigint, id bigint, value double"
 
     def __init__(self, keep: int, life_ms: int) -> None:
         self.keep, self.life = keep, life_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getListState("last", "micros bigint, id bigint, value double")
+        self.last = handle.getListState("last", self.KIND)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.last.get()]
+        held, touched = self._held(), set()
         for part in rows:
+            names, micros, ids = part["key"].tolist(), part["micros"].tolist(), part["id"].tolist()
+            values = [None if v is None or v != v else float(v) for v in part["value"].astype(object)]
+            fresh: dict[str, list] = {}
             # The ID may be missing from no row: it tells rows of one time apart.
-            held += [
-                (int(m), int(i), None if pd.isna(v) else float(v))
-                for m, i, v in zip(part["micros"], part["id"], part["value"], strict=True)
-            ]
-            held = sorted(set(held), key=lambda r: r[:2])[-self.keep :]
-        self.last.put(held)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(held[-1][0] // 1000 + self.life)
-        yield self._row(key, held)
+            for name, *row in zip(names, micros, ids, values, strict=True):
+                fresh.setdefault(name, []).append(tuple(row))
+            for name, found in fresh.items():
+                held[name] = sorted({*held.get(name, ()), *found}, key=lambda r: r[:2])[-self.keep :]
+            touched |= fresh.keys()
+        self._store(held)
+        yield self._rows(key, {name: held[name] for name in sorted(touched)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        yield self._row(key, [])
+        held, mark = self._held(), timerValues.getCurrentWatermarkInMs()
+        over = sorted(name for name, rows in held.items() if self._end(rows) <= mark)
+        for name in over:
+            del held[name]
+        self._store(held)
+        yield self._rows(key, {name: [] for name in over})
+
+    def _held(self) -> dict[str, list]:
+        held: dict[str, list] = {}
+        for name, *row in self.last.get():
+            held.setdefault(name, []).append(tuple(row))
+        return held
+
+    def _end(self, rows: list) -> int:
+        return rows[-1][0] // 1000 + self.life
+
+    def _store(self, held: dict[str, list]) -> None:
+        """Keep the values, and one timer for the key that is over first."""
+        if held:
+            self.last.put([(name, *row) for name, rows in held.items() for row in rows])
+        else:
+            self.last.clear()
+        wanted = {min(map(self._end, held.values()))} if held else set()
+        set_ = set(self.handle.listTimers())
+        for timer in set_ - wanted:
+            self.handle.deleteTimer(timer)
+        for timer in wanted - set_:
+            self.handle.registerTimer(timer)
 
     @staticmethod
-    def _row(key, held: list) -> pd.DataFrame:
-        held = [{"micros": m, "id": i, "value": v} for m, i, v in held]
-        return pd.DataFrame({"key": [key[0]], "part": [key[1]], "last": [held]})
+    def _rows(bucket, found: dict[str, list]) -> pd.DataFrame:
+        last = [[{"micros": m, "id": i, "value": v} for m, i, v in rows] for rows in found.values()]
+        return pd.DataFrame({"key": pd.Series(list(found), dtype=object), "part": pd.Series([bucket[0]] * len(found), dtype="int32"), "last": pd.Series(last, dtype=object)})
 
     def close(self) -> None:
         pass
@@ -173,12 +204,13 @@ class LastValues(StatefulProcessor):
 
 def last_values(
     events: DataFrame, key: str, time: str, row_id: str, value: str, keep: int, life: str, delay: str, out: str,
-    checkpoint: str, parts: int = 4,
+    checkpoint: str, parts: int = 4, buckets: int = 256,
 ) -> StreamingQuery:
     """Keep the last ``keep`` values of each key in state, for ``life`` after its newest event.
 
     The state of a key lies in ``parts`` pieces by the hash of the row's ID, each with its own last values, so a hot key
-    is no single task; :func:`read_last_values` merges them. Rows without an ID are left out. Keys need a type that a
+    is no single task; :func:`read_last_values` merges them. Pieces of many keys share one of ``buckets`` states for each
+    of the ``parts``; set more for more keys than some ten million, and the same at every start. Rows without an ID are left out. Keys need a type that a
     string tells apart.
     """
     spark = events.sparkSession
@@ -188,10 +220,12 @@ def last_values(
     ).first()[0]
     rows = events.select(
         # Grouped state tells no null key from the key before it.
-        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("key"), F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int").alias("part"),
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("key"), F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int").alias("piece"),
         F.col(time).cast("timestamp").alias("at"), F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
         F.col(row_id).cast("bigint").alias("id"), F.col(value).cast("double").alias("value"),
     ).where("micros IS NOT NULL AND id IS NOT NULL")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)) * parts + F.col("piece")
+    rows = rows.withColumn("part", bucket.cast("int")).drop("piece")
     kind = T.StructType(
         [
             T.StructField("key", T.StringType()), T.StructField("part", T.IntegerType()),
@@ -200,7 +234,7 @@ def last_values(
             ]))),
         ]
     )
-    found = rows.withWatermark("at", delay).groupBy("key", "part").transformWithStateInPandas(
+    found = rows.withWatermark("at", delay).groupBy("part").transformWithStateInPandas(
         LastValues(keep, life_ms), kind, "Update", "EventTime"
     )
     given = F.when(F.col("key") != "", F.substr("key", F.lit(2))).cast(events.schema[key].dataType)
