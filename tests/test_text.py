@@ -198,3 +198,12 @@ def test_a_table_of_terms_is_searched_in_words_once(spark, monkeypatch):
     terms.match(rows, table, few=0)
     # No anchor is looked for in whole texts: the words of all texts are stored once.
     assert any(t.columns == ["word"] and t.count() == len({w for x in texts if x for w in x.lower().split()} | {""}) for t in written)
+
+
+def test_a_worker_keeps_few_tokens():
+    from vicinia.operators import embed
+
+    model = embed.TokenHashEmbedder("4")
+    model.embed_batch([" ".join(map(str, range(150_000)))])
+    model.embed_batch(["a"])
+    assert len(model._places) == 1
