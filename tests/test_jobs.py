@@ -251,3 +251,85 @@ def test_repeats_within_the_watermark(spark, tmp_path):
     (stream.drop_repeats(arriving).writeStream.format("parquet").option("path", out)
      .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination())
     assert sorted(r.paper_id for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+ITEMS = "id string, source string, title string, authors array<string>, abstract string, url string, date_added string, " \
+        "date_published string, collections array<string>, ord long"
+
+
+def library_items(spark, rows):
+    """``(id, title, collections, ord)`` as library items with long texts."""
+    return spark.createDataFrame([(i, "s", t, [], f"{t} " * 50, "", None, None, c, o) for i, t, c, o in rows], ITEMS)
+
+
+def columns_cut(monkeypatch):
+    """The columns of every table that the jobs and the operators below them cut from here on."""
+    from vicinia import session
+    from vicinia.operators import incremental, knn, ranking, relevance
+    from vicinia.sources import layers
+
+    seen, real = [], session.cut
+
+    def cut(df):
+        seen.append(set(df.columns))
+        return real(df)
+
+    for module in (session, jobs, incremental, knn, ranking, relevance, layers):
+        if hasattr(module, "cut"):
+            monkeypatch.setattr(module, "cut", cut)
+    return seen
+
+
+def test_a_sync_writes_texts_to_the_store_alone(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "store"), buckets=2)
+    none = spark.createDataFrame([], "key string, name string, parent_key string, ord long")
+    seen = columns_cut(monkeypatch)
+    rows = [(f"s:{n}", f"title {n}", ["a"], n) for n in range(6)]
+    first = jobs.sync_library(store, library_items(spark, rows), none, MODEL, "s").stats.first()
+    assert (first.retrieved, first.new, first.needing_embedding, first.embedded) == (6, 6, 6, 6)
+    # One paper again, as two rows, and two new ones: the last row counts, and only the new ones are embedded.
+    rows = [("s:3", "older", ["b"], 1), ("s:3", "newer", ["c"], 2), ("s:7", "seven", ["d"], 3), ("s:8", "eight", [], 4)]
+    second = jobs.sync_library(store, library_items(spark, rows), none, MODEL, "s").stats.first()
+    assert (second.retrieved, second.new, second.needing_embedding, second.embedded) == (3, 2, 2, 2)
+    assert store.paper("s:3").first().title == "newer" and store.read("papers").count() == 8
+    assert {r.collection_key for r in store.memberships().where("paper_id = 's:3'").collect()} == {"c"}
+    assert store.read("papers").columns == PAPERS.names and store.embeddings_of(MODEL.model_id).count() == 8
+    # Texts are neither cut nor, on their way to the model, dealt out anew.
+    assert seen and not any({"title", "abstract", "text"} & columns for columns in seen)
+
+
+def test_a_first_sync_reads_waiting_texts_where_they_lie(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "store"), buckets=2)
+    none = spark.createDataFrame([], "key string, name string, parent_key string, ord long")
+    plans, real = [], embed.embed
+
+    def watched(df, *args, **options):
+        found = real(df, *args, **options)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(embed, "embed", watched)
+    jobs.sync_library(store, library_items(spark, [(f"s:{n}", "t", [], n) for n in range(6)]), none, MODEL, "s")
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
+def test_a_digest_is_ranked_without_its_texts(spark, store, landed, monkeypatch):
+    listing = feeds.read_listings(spark, {"quant-ph": landed["listing"]})
+    metadata = feeds.read_metadata(spark, landed["metadata"])
+    seen = columns_cut(monkeypatch)
+    result = jobs.score_feed(store, listing, metadata, PICKY, SETTINGS, run_date="d")
+    ranked = [columns for columns in seen if "_range" in columns]
+    assert len(ranked) == 1 and not {"abstract", "top_matches"} & ranked[0]
+    titles = [r.text for r in result.lines.where("line_no = 0 and rank > 0").orderBy("place", "rank").collect()]
+    assert len(titles) == result.items.count() and titles[0].startswith("1. ")
+
+
+def test_the_latest_of_repeats(spark):
+    from vicinia.sources.layers import latest_of_repeats, latest_rows
+
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "u"), (None, 3, "v"), ("c", 5, "w")]
+    df = spark.createDataFrame(rows, "id string, ord long, text string")
+    want = sorted(map(str, latest_rows(df, ["id"], ["ord"]).collect()))
+    assert sorted(map(str, latest_of_repeats(df, ["id"], ["ord"]).collect())) == want and len(want) == 4
+    once = latest_of_repeats(df.where("ord > 2"), ["id"], ["ord"])
+    assert {r.text for r in once.collect()} == {"v", "w"}
