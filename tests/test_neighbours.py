@@ -286,3 +286,56 @@ def test_running_lists_keep_ties_by_place_within_a_bound():
         for places in np.split(rng.permutation(90), 6):
             lists.meet(data[np.sort(places)], np.sort(places), np.arange(90))
         assert [[str(p) for p in row] for row in lists.places] == [[want[str(i), r][0] for r in range(1, 6)] for i in range(90)]
+
+
+def test_pairs_nearer_than_single_precision_tells_apart_are_ranked_right():
+    from vicinia.operators import knn as plans
+
+    rng = np.random.default_rng(8)
+    # Rows around one direction, whose distances differ from the tenth digit on, among others far away.
+    data = unit(np.concatenate([np.r_[1.0, np.zeros(15)] + 2e-6 * rng.normal(size=(700, 16)), rng.normal(size=(700, 16))]))
+    data = data[rng.permutation(len(data))]
+    asked = np.concatenate([data[:40], unit(rng.normal(size=(8, 16)))])
+    want = brute(asked, data, 6)
+    lists = plans._Lists(asked, np.full(len(asked), 2.0), 6)
+    for places in np.split(rng.permutation(len(data)), 2):
+        lists.meet(data[np.sort(places)], np.sort(places), np.arange(len(asked)))
+    for i in range(len(asked)):
+        assert list(lists.distances[i]) == pytest.approx([want[str(i), r][1] for r in range(1, 7)], abs=2e-12)
+    # Rounding may order two rows differently only where their distances round to neighbouring numbers.
+    exact = np.round(np.clip(1.0 - asked @ data.T, 0, 2), 12)
+    assert np.abs(np.take_along_axis(exact, lists.places, 1) - lists.distances).max() <= 2e-12
+
+
+def test_few_pairs_are_worked_out_in_double_precision(monkeypatch):
+    from vicinia.operators import knn as plans
+
+    rng = np.random.default_rng(9)
+    data = unit(rng.normal(size=(3000, 24)))
+    want = brute(data[:200], data, 5)
+    bound = np.array([want[str(i), 5][1] for i in range(200)])
+    worked, note = [], plans._Lists._note
+    monkeypatch.setattr(plans._Lists, "_note", lambda self, owner, *rest: (worked.append(len(owner)), note(self, owner, *rest))[1])
+    lists = plans._Lists(data[:200], bound, 5)
+    for places in np.split(np.arange(3000), 3):
+        lists.meet(data[places], places, np.arange(200))
+    # Five a query, and what lies within the error of a single product of the bound.
+    assert 1000 <= sum(worked) <= 1010
+    assert [[str(p) for p in row] for row in lists.places] == [[want[str(i), r][0] for r in range(1, 6)] for i in range(200)]
+
+
+def test_a_slice_meets_its_own_blocks_in_one_task_and_goes_on_with_its_bound(spark, monkeypatch):
+    from vicinia.operators import knn as plans
+
+    written, cut = [], plans.cut
+    monkeypatch.setattr(plans, "cut", lambda df: (written.append(cut(df)), written[-1])[1])
+    data = clustered(np.random.default_rng(12), 200)
+    want = brute(data, data, 3)
+    got = knn(as_queries(spark, data), as_library(spark, data), 3, strategy="cells", block_rows=10)
+    rows = written[-1].collect()
+    asked = [key for row in rows for key in row["keys"]]
+    assert len(asked) == len(set(asked)) == 200
+    assert all(len(row["bound"]) == len(row["keys"]) and len(row["vectors"]) == len(row["keys"]) * 8 * 8 for row in rows)
+    # No bound is below the distance that it bounds.
+    assert sorted(b for row in rows for b in row["bound"])[0] >= min(want[str(i), 3][1] for i in range(200)) - 2e-12
+    assert_same(found(got), want)
